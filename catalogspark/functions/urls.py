@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogspark.functions.text import _col, compact
 
@@ -112,7 +113,7 @@ def _normalise(text: str) -> str:
     return "".join(ch if ch.isascii() else "".join(f"%{b:02X}" for b in ch.encode()) for ch in "".join(out))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalise_octets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(_normalise, na_action="ignore")

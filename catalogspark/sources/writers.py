@@ -60,10 +60,9 @@ def compare_table(df: DataFrame, heading: Column, fields: Mapping[str, Column],
 
 def compare_csv(table: DataFrame) -> DataFrame:
     """Comparison rows as safe CSV lines."""
-    return table.select(F.concat_ws(",", *[csv_cell(f"`{c}`") if "#" in c else csv_cell(c) for c in table.columns])
-                        .alias("line"))
+    return table.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in table.columns]).alias("line"))
 
 
-def overwrite_datasets(df: DataFrame, path: str, dataset: str = "dataset") -> None:
-    """Replace exactly the datasets present in ``df``; other partitions keep their files."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(dataset).parquet(path)
+def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Replace exactly the partitions present in ``df``; every other partition keeps its files."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalogspark.operators.merge import latest_state
-from catalogspark.sources.writers import overwrite_datasets
+from catalogspark.sources.writers import overwrite_partitions
 from catalogspark.streaming import log
 
 
@@ -50,15 +50,26 @@ def start_queue(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         availableNow=True).start()
 
 
-def start_import(stream: DataFrame, path: str, checkpoint: str, dataset: str = "dataset") -> StreamingQuery:
-    """Incremental catalog import: every micro-batch replaces exactly the datasets it carries."""
-    def apply(batch: DataFrame, _: int) -> None:
-        overwrite_datasets(batch, path, dataset)
+def start_import(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Incremental catalog import of rows with ``dataset`` and ``capture``.
+
+    A capture may arrive over several micro-batches: each writes its own partition, and a replayed batch replaces
+    only what it wrote before.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        overwrite_partitions(batch.withColumn("batch", F.lit(batch_id)), path, "dataset", "capture", "batch")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
+def read_imports(spark: SparkSession, path: str) -> DataFrame:
+    """The catalog as imported: per dataset the latest capture, whole; a dataset never mixes two captures."""
+    rows = spark.read.parquet(path)
+    latest = rows.groupBy("dataset").agg(F.max("capture").alias("capture"))
+    return rows.join(latest, ["dataset", "capture"], "left_semi").drop("batch")
+
+
 def start_circuits(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     state = log.circuit_state(log.event_time(stream), "key", ["ts", "event_id"])
     return state.writeStream.outputMode("complete").format("memory").queryName(name).option(
