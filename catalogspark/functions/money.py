@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,12 @@ _CODES = r"USD|EUR|GBP|CHF|INR|AED|HKD|SGD|JPY"
 _NUMBER = r"(?:\d{1,3}(?:,\d{2,3})+|\d+)(?:\.\d{1,2})?"
 _TOKEN = (
     rf"(?:(?<![A-Za-z0-9])(?:{_MARKS})\s*{_NUMBER}(?!\d|[,.]\d)"
-    rf"|(?<![\d.,]){_NUMBER}\s*(?:{_CODES})\b)"
+    rf"|(?<![\d.,]){_NUMBER}\s*(?:{_CODES})(?![A-Za-z0-9_]))"
 )
 # Wording near a figure that means it is not a plain asking price.
 _NOT_A_PRICE = (
-    r"(?i)\b(?:per month|monthly|installment|instalment|shipping|deposit|save|discount|off|from|starting at)\b"
-    r"|/\s*(?:mo|month)|[-–]\s*(?:[$€£₹¥]|\d)|\bto\s*(?:USD|EUR|GBP|CHF|INR|[$€£₹¥])?\s*\d"
+    r"(?i)(?<![A-Za-z0-9_])(?:per month|monthly|installment|instalment|shipping|deposit|save|discount|off|from|starting at)(?![A-Za-z0-9_])"
+    r"|/\s*(?:mo|month)|[-–]\s*(?:[$€£₹¥]|\d)|(?<![A-Za-z0-9_])to\s*(?:USD|EUR|GBP|CHF|INR|[$€£₹¥])?\s*\d"
 )
 CONTEXT_BEFORE, CONTEXT_AFTER, SMALLEST_PRICE = 30, 35, 100
 # Digit grouping styles.
@@ -55,32 +57,34 @@ def display_price(currency: Column | str, amount: Column | str) -> Column:
     return F.concat(_col(currency), F.lit(" "), F.format_number(_col(amount), 0))
 
 
-def price_candidates(text: Column | str) -> Column:
-    """array<struct<amount,currency,mark,raw>> of the figures in ``text`` that read as a plain asking price.
+# One match carries its context: up to 30 characters before in group 1, the token in group 2, up to 35 after in
+# group 3. The leading lookahead keeps the lookbehind off every position that starts no token.
+_IN_CONTEXT = (
+    rf"(?i)(?={_TOKEN})(?<=(^[\s\S]{{0,{CONTEXT_BEFORE - 1}}}|[\s\S]{{{CONTEXT_BEFORE}}}))({_TOKEN})"
+    rf"(?=([\s\S]{{0,{CONTEXT_AFTER}}}))"
+)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``: array functions are not shared between expressions."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
 
-    Every match is cut out together with its context: the text is split on the token pattern, so the characters
-    before and after match *i* are the pieces around it, joined back with the neighbouring tokens.
-    """
+
+def price_candidates(text: Column | str) -> Column:
+    """array<struct<amount,currency,mark,raw>> of the figures in ``text`` that read as a plain asking price."""
     text = _col(text)
-    raws = F.regexp_extract_all(text, F.lit("(?i)" + _TOKEN), F.lit(0))
-    gaps = F.split(text, "(?i)" + _TOKEN, -1)
-
-    def offset(i: Column) -> Column:
-        head = F.slice(gaps, 1, i + 1)
-        past = F.slice(raws, 1, i)
-        return F.length(F.array_join(head, "")) + F.length(F.array_join(past, ""))
-
-    def read(raw: Column, i: Column) -> Column:
-        start = offset(i)
-        first = F.greatest(start - CONTEXT_BEFORE, F.lit(0))
-        around = F.substring(text, first + 1, start - first + F.length(raw) + CONTEXT_AFTER)
-        number = F.regexp_extract(raw, _NUMBER, 0)
-        mark = F.trim(F.replace(raw, number, F.lit("")))
-        return F.struct(
-            F.replace(number, F.lit(","), F.lit("")).try_cast("double").alias("amount"),
-            currency_code(mark).alias("currency"), F.upper(mark).alias("mark"), raw.alias("raw"),
-            number.alias("number"), around.alias("around"),
-        )
+    before, raws, after = [F.regexp_extract_all(text, F.lit(_IN_CONTEXT), F.lit(i)) for i in (1, 2, 3)]
+    matches = F.arrays_zip(before.alias("before"), raws.alias("raw"), after.alias("after"))
+
+    def read(m: Column) -> Column:
+        number = F.regexp_extract(m["raw"], _NUMBER, 0)
+        return _let(number, lambda n: F.struct(
+            F.replace(n, F.lit(","), F.lit("")).try_cast("double").alias("amount"),
+            currency_code(F.trim(F.replace(m["raw"], n, F.lit("")))).alias("currency"),
+            F.upper(F.trim(F.replace(m["raw"], n, F.lit("")))).alias("mark"),
+            m["raw"].alias("raw"), n.alias("number"),
+            F.concat(m["before"], m["raw"], m["after"]).alias("around"),
+        ))
 
     def plain(p: Column) -> Column:
         grouping = (
@@ -90,18 +94,18 @@ def price_candidates(text: Column | str) -> Column:
         )
         return (p["amount"] >= SMALLEST_PRICE) & ~p["around"].rlike(_NOT_A_PRICE) & grouping
 
-    return F.filter(F.transform(raws, read), plain)
+    return F.when(text.rlike("(?i)" + _TOKEN), F.filter(F.transform(matches, read), plain))
 
 
 def sole_price(text: Column | str) -> Column:
     """struct<amount,currency,raw> when the text states exactly one distinct price, else null."""
-    found = price_candidates(text)
-    keys = F.array_distinct(
-        F.transform(found, lambda p: F.concat_ws("|", F.coalesce(p["currency"], p["mark"]), p["amount"].cast("string")))
-    )
-    last = F.element_at(found, -1)
-    price = F.struct(last["amount"].alias("amount"), last["currency"].alias("currency"), last["raw"].alias("raw"))
-    return F.when(F.size(keys) == 1, price)
+    def decide(found: Column) -> Column:
+        keys = F.transform(found, lambda p: F.concat_ws("|", F.coalesce(p["currency"], p["mark"]), p["amount"].cast("string")))
+        last = F.element_at(found, -1)
+        price = F.struct(last["amount"].alias("amount"), last["currency"].alias("currency"), last["raw"].alias("raw"))
+        return F.when(F.size(F.array_distinct(keys)) == 1, price)
+
+    return _let(price_candidates(text), decide)
 
 
 def condition_label(evidence: Column | str) -> Column:

@@ -43,6 +43,11 @@ FUNCTION_PHRASES = (
 )
 
 
+def whole_words(pattern: str) -> str:
+    """Case-insensitive pattern bounded by non-letters in any script, whatever the Java version makes of \\b."""
+    return rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+
+
 def term_extract(text: Column | str, terms: Sequence[tuple[str, str]] = MATERIALS,
                  suppression: Mapping[str, str] = MATERIAL_SUPPRESSION) -> Column:
     """Array of the term names found, in table order; a general term is hidden by its specific form."""
@@ -61,13 +66,13 @@ def clause_colours(text: Column | str, colours: Sequence[str] = STRAP_COLOURS,
     """Comma clauses after the first that name a colour and no metal ("white gold" is no colour)."""
     clauses = F.split(_col(text), ",")
     rest = F.when(F.size(clauses) > 1, F.slice(clauses, 2, F.size(clauses))).otherwise(F.array().cast("array<string>"))
-    colour, metal = rf"(?i)\b(?:{'|'.join(colours)})\b", rf"(?i)\b(?:{'|'.join(metals)})\b"
-    return F.transform(F.filter(rest, lambda c: c.rlike(colour) & ~c.rlike(metal)), F.trim)
+    colour, metal = whole_words("|".join(colours)), whole_words("|".join(metals))
+    return F.transform(F.filter(rest, lambda c: c.rlike(colour) & ~c.rlike(metal)), lambda c: F.trim(c))
 
 
 def phrase_extract(text: Column | str, phrases: Sequence[str] = FUNCTION_PHRASES) -> Column:
     """Distinct phrases in text order; earlier alternatives win at the same position."""
-    pattern = rf"(?i)\b(?:{'|'.join(phrases)})\b"
+    pattern = whole_words("|".join(phrases))
     return F.array_distinct(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(0)))
 
 

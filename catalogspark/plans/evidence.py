@@ -1 +1,120 @@
-"""Pending."""
+"""Price evidence from search hits derived from the offers, and query-log annotation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogspark.functions.money import sole_price
+from catalogspark.functions.urls import has_other_reference, has_reference
+from catalogspark.operators import evidence as ev
+from catalogspark.operators.annotate import annotate_queries
+from catalogspark.plans.registry import query
+
+# Wording of a derived hit by line number; {0} is the grouped amount.
+_WORDING = {1: "price USD {0}. Available to order.", 2: "Pre-owned. {0} EUR", 3: "USD {0} - 99,000", 4: "Save USD {0} today",
+            5: "MSRP CHF {0}", 6: "${0}", 7: "USD {0} or USD 7,501"}
+
+
+def _amount():
+    return F.floor("l_extendedprice").cast("long") + 100
+
+
+def _products(t):
+    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"),
+                         F.concat(F.lit("IW"), F.format_string("%06d", "p_partkey"), F.lit("-A")).alias("reference"))
+
+
+def _hits(t):
+    amount = F.format_number(_amount(), 0)
+    line = F.col("l_linenumber")
+    text = F.lit("")
+    for n, wording in _WORDING.items():
+        before, after = wording.split("{0}")
+        text = F.when(line == n, F.concat(F.lit(before), amount, F.lit(after))).otherwise(text)
+    ref = F.concat(F.lit("iw"), F.format_string("%06d", "l_partkey"), F.lit(" a"))
+    named = F.when(F.col("l_suppkey") % 10 == 0, F.lit("IW999999-A")).otherwise(ref)
+    title = F.concat(F.when(F.col("l_suppkey") % 10 == 1, F.lit("Replacement for ")).otherwise(F.lit("")), F.lit("Brand watch "), ref)
+    # Position is unique inside a product so that "last hit wins" is well defined.
+    position = F.col("l_orderkey") * 1000 + F.col("l_suppkey") * 10 + line
+    scheme = F.when(F.col("l_suppkey") % 10 == 2, "http").otherwise("https")
+    return t.lineitem.select(
+        F.col("l_partkey").alias("id"), title.alias("title"), F.concat(named, F.lit(" "), text).alias("snippet"),
+        F.concat(scheme, F.lit("://shop"), "l_suppkey", F.lit(".example/w/"), "l_partkey").alias("link"),
+        F.when(F.col("l_returnflag") != "N", F.date_format("l_shipdate", "MMM d, yyyy")).alias("date"), position.alias("position"))
+
+
+@query("price_extract", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber IN (1, 2, 5, 6) OR (l_linenumber = 7 AND a = 7501) THEN CAST(a AS DOUBLE) END AS amount,
+ CASE l_linenumber WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 5 THEN 'CHF' WHEN 7 THEN CASE WHEN a = 7501 THEN 'USD' END END AS currency
+ FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) + 100 AS a FROM lineitem)""")
+def _(t):
+    amount, line, text = F.format_number(_amount(), 0), F.col("l_linenumber"), F.lit("")
+    for n, wording in _WORDING.items():
+        before, after = wording.split("{0}")
+        text = F.when(line == n, F.concat(F.lit(before), amount, F.lit(after))).otherwise(text)
+    rows = t.lineitem.withColumn("p", sole_price(text))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.amount", "p.currency")
+
+
+@query("price_extract_documents")
+def _(t):
+    # Whole texts; the generated corpus states no prices, so most rows are null.
+    return t.documents.select("doc_id", sole_price("text").alias("p")).select("doc_id", "p.amount", "p.currency", "p.raw")
+
+
+@query("exact_reference", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 10 <> 0 AS exact, l_suppkey % 10 = 0 AND l_partkey <> 999999 AS other FROM lineitem""")
+def _(t):
+    reference = F.concat(F.lit("IW"), F.format_string("%06d", "l_partkey"), F.lit("-A"))
+    named = F.when(F.col("l_suppkey") % 10 == 0, F.lit("IW999999-A")).otherwise(
+        F.concat(F.lit("iw"), F.format_string("%06d", "l_partkey"), F.lit(" a")))
+    text = F.concat(F.lit("Offer: "), named, F.lit(", USD 5,000"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", has_reference(text, reference).alias("exact"),
+                             has_other_reference(text, reference).alias("other"))
+
+
+_OK = """hits AS (SELECT l_partkey AS id, l_suppkey AS s, l_linenumber AS n, l_orderkey * 1000 + l_suppkey * 10 + l_linenumber AS position,
+ CAST(floor(l_extendedprice) AS BIGINT) + 100 AS a, CASE WHEN l_returnflag <> 'N' THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS d FROM lineitem
+ WHERE l_suppkey % 10 NOT IN (0, 1, 2))"""
+
+
+@query("match_hits", f"WITH {_OK} SELECT id, position, count(*) AS n FROM hits GROUP BY 1, 2")
+def _(t):
+    return ev.match_hits(_products(t), _hits(t)).groupBy("id", "position").agg(F.count("*").alias("n"))
+
+
+@query("price_reports", f"""WITH {_OK}, priced AS (SELECT DISTINCT ON (id, s) id, s, position, d, CAST(a AS DOUBLE) AS amount,
+ CASE n WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 5 THEN 'CHF' WHEN 7 THEN 'USD' END AS currency,
+ CASE n WHEN 2 THEN 'Pre-owned listing' WHEN 5 THEN 'Reported retail price' ELSE 'Condition / price basis unspecified' END AS condition
+ FROM hits WHERE n IN (1, 2, 5, 6) OR (n = 7 AND a = 7501) ORDER BY id, s, position DESC, a DESC)
+ SELECT id, 'https://shop' || s || '.example/w/' || id AS source_url, d AS source_date, amount, currency, condition, rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC NULLS LAST, position, 'https://shop' || s || '.example/w/' || id) AS rank FROM priced) WHERE rank <= 3""")
+def _(t):
+    now = F.lit("2026-10-04 12:00:00").cast("timestamp_ntz")
+    out = ev.price_reports(_products(t), _hits(t), now)
+    return out.select("id", "source_url", F.col("source_date").cast("string").alias("source_date"), "amount", "currency", "condition",
+                      F.col("rank").cast("long").alias("rank"))
+
+
+_VOCABULARY = {"brand": [f"Brand#{i}" for i in range(1, 26)], "collection": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+               "complication": ["gear", "ring", "bolt", "widget", "plate", "rod", "gizmo", "anvil"]}
+
+
+@query("query_annotate", """SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN true ELSE false END AS negated,
+ CASE WHEN p_size > 45 THEN NULL ELSE p_brand END AS brand, CASE WHEN p_size > 45 THEN NULL ELSE p_type END AS collection,
+ CASE WHEN p_size <= 45 THEN CAST(p_size AS DOUBLE) END AS diameter_lt, CASE WHEN p_size <= 45 THEN 20000.0::DOUBLE END AS price_lt,
+ CASE WHEN p_size <= 45 THEN 'CHF' END AS currency, CASE WHEN p_size <= 45 THEN 'zenitude' END AS rest FROM part""")
+def _(t):
+    text = F.concat(F.lit("Show me "), F.lower("p_type"), F.lit(" "), "p_brand", F.lit(" zenitude watches under "), "p_size",
+                    F.lit("mm and below CHF 20k"), F.when(F.col("p_size") > 45, " without date").otherwise("."))
+    out = annotate_queries(t.part.select(F.col("p_partkey").alias("id"), "p_size", text.alias("q")), "q", _VOCABULARY)
+    return out.select("id", "negated", F.get(F.try_element_at("facets", F.lit("brand")), 0).alias("brand"),
+                      F.get(F.try_element_at("facets", F.lit("collection")), 0).alias("collection"),
+                      F.try_element_at("bounds", F.lit("diameter.lt")).alias("diameter_lt"),
+                      F.try_element_at("bounds", F.lit("price.lt")).alias("price_lt"), "currency",
+                      F.when(~F.col("negated"), F.col("rest")).alias("rest"))
+
+
+@query("query_annotate_log")
+def _(t):
+    # The whole conversation log, whole texts.
+    out = annotate_queries(t.conversations.select("conv_id", "turn", "text"), "text", _VOCABULARY)
+    return out.select("conv_id", "turn", "negated", F.to_json("facets").alias("facets"), F.to_json("bounds").alias("bounds"), "currency", "rest")

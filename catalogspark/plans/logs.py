@@ -1 +1,97 @@
-"""Pending."""
+"""Request-log operators: the batch twins of the streaming jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogspark.operators import reconcile as rc
+from catalogspark.plans.registry import LOG, query
+from catalogspark.streaming import log as lg
+
+ORDER = ["ts", "event_id"]
+
+
+def _day():
+    """Chunk of a key's history: one day."""
+    return F.to_date("ts")
+
+
+@query("pacing_audit", f"""WITH {LOG} SELECT kind AS host, event_id, gap_us FROM (SELECT kind, event_id, us - lag(us) OVER (PARTITION BY kind ORDER BY ts, event_id) AS gap_us FROM log)
+ WHERE gap_us < 120000000""")
+def _(t):
+    out = rc.pacing_violations(t.log.withColumnRenamed("kind", "host"), "host", ORDER, "us", F.greatest(F.lit(3), F.lit(120)), _day())
+    return out.select("host", "event_id", "gap_us")
+
+
+@query("retry_runs", f"""WITH {LOG}, f AS (SELECT key, status = 429 AS bad, CAST(sum((status <> 429)::INT) OVER (PARTITION BY key ORDER BY ts, event_id) AS BIGINT) AS run FROM log)
+ SELECT key, run, count(*) AS attempts, count(*) > 3 AS over_budget FROM f WHERE bad GROUP BY 1, 2""")
+def _(t):
+    return rc.retry_runs(t.log, "key", ORDER, F.col("status") == 429, _day())
+
+
+@query("rate_limit", f"""WITH {LOG}, a AS (SELECT *, date_trunc('day', ts) AS w, row_number() OVER (PARTITION BY key, date_trunc('day', ts) ORDER BY ts, event_id) AS own FROM log),
+ b AS (SELECT *, sum((own <= 3)::INT) OVER (PARTITION BY w ORDER BY ts, event_id) AS shared FROM a)
+ SELECT event_id, key, CASE WHEN own > 3 THEN 'rate_limited' WHEN shared > 200 THEN 'busy' ELSE 'ok' END AS verdict FROM b""")
+def _(t):
+    out = lg.rate_limited(t.log, "key", ORDER, "1 day", 3, 200, F.date_trunc("hour", "ts"))
+    return out.select("event_id", "key", "verdict")
+
+
+@query("rate_limit_minute", f"""WITH {LOG} SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY key, date_trunc('minute', ts) ORDER BY ts, event_id) > 6 THEN 'rate_limited' ELSE 'ok' END AS verdict FROM log""")
+def _(t):
+    out = lg.rate_limited(t.log, "key", ORDER, "1 minute", lg.LOOKUPS_PER_MINUTE, lg.BUDGET_PER_MINUTE, F.date_trunc("second", "ts"))
+    return out.select("event_id", "verdict")
+
+
+@query("rate_windows", f"""WITH {LOG} SELECT key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, greatest(count(*) - 3, 0) AS over_limit FROM log GROUP BY 1, 2""")
+def _(t):
+    out = lg.rate_windows(t.log, "key", "1 day", 3)
+    return out.select("key", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "over_limit")
+
+
+@query("circuit_state", f"""WITH {LOG}, o AS (SELECT *, 'HTTP ' || status AS reason, CASE WHEN status = 429 THEN us + greatest(retry_after, 60)::BIGINT * 1000000 END AS until_us
+ FROM log WHERE status IN (401, 403, 429, 451)) SELECT key, arg_max(reason, event_id) AS reason,
+ arg_max(coalesce(until_us, -1), event_id) AS until_us, count(*) AS openings FROM o GROUP BY 1""")
+def _(t):
+    out = lg.circuit_state(t.log, "key", ORDER)
+    return out.select("key", "reason", F.coalesce("until_us", F.lit(-1)).alias("until_us"), "openings")
+
+
+@query("blocked_requests", f"""WITH {LOG}, o AS (SELECT *, CASE WHEN status = 429 THEN us + greatest(retry_after, 60)::BIGINT * 1000000 WHEN status = 403 THEN 4611686018427387904 END AS until_us FROM log)
+ SELECT event_id, coalesce(last_value(until_us IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > us, false) AS blocked FROM o""")
+def _(t):
+    return lg.blocked_requests(t.log, "key", ORDER, _day()).select("event_id", "blocked")
+
+
+@query("single_flight", f"""WITH {LOG} SELECT key, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS flight, count(*) AS requests FROM log GROUP BY 1, 2""")
+def _(t):
+    out = lg.single_flight(t.log, "key", "6 hours")
+    return out.select("key", F.date_format("flight_start", "yyyy-MM-dd HH:mm").alias("flight"), "requests")
+
+
+@query("freshness", f"""WITH {LOG}, r AS (SELECT *, CASE kind WHEN 'purchase' THEN 'found' WHEN 'signup' THEN 'not_found' END AS o FROM log),
+ s AS (SELECT *, last_value(CASE WHEN o IS NOT NULL THEN us END IGNORE NULLS) OVER w AS seen_at, last_value(o IGNORE NULLS) OVER w AS was FROM r
+  WINDOW w AS (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT event_id, state, state <> 'fresh' AS refresh FROM (SELECT event_id, CASE WHEN (us - seen_at) / 1000000 < CASE was WHEN 'found' THEN 21600 ELSE 900 END THEN 'fresh'
+  WHEN (us - seen_at) / 1000000 < CASE was WHEN 'found' THEN 604800 ELSE 900 END THEN 'stale' ELSE 'miss' END AS state FROM s WHERE kind = 'view')""")
+def _(t):
+    outcome = F.when(F.col("kind") == "purchase", "found").when(F.col("kind") == "signup", "not_found")
+    out = lg.freshness(t.log, "key", ORDER, outcome, F.col("kind") == "view", _day())
+    return out.select("event_id", "state", "refresh")
+
+
+@query("change_feed", f"""WITH {LOG} SELECT event_id, key, content FROM (SELECT event_id, key, kind AS content, lag(kind) OVER (PARTITION BY key ORDER BY ts, event_id) AS prev FROM log)
+ WHERE prev IS DISTINCT FROM content""")
+def _(t):
+    out = lg.change_feed(t.log.withColumn("content", F.sha2("kind", 256)), "key", ORDER, "content", _day())
+    return out.select("event_id", "key", F.col("kind").alias("content"))
+
+
+@query("queue_status", f"WITH {LOG} SELECT key, arg_min(kind, event_id) AS first_status, arg_max(kind, event_id) AS status, count(*) AS updates FROM log GROUP BY 1")
+def _(t):
+    return lg.queue_status(t.log, "key", ORDER, "kind")
+
+
+@query("not_from_future", f"WITH {LOG} SELECT event_id FROM log WHERE ts <= TIMESTAMP '2024-01-15'")
+def _(t):
+    return lg.not_from_future(t.log, F.lit("2024-01-15").cast("timestamp")).select("event_id")

@@ -1 +1,141 @@
-"""Pending."""
+"""Page snapshots: completeness, links, classification, permissions and facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalogspark.functions import urls as ur
+from catalogspark.functions.text import html_text
+from catalogspark.operators import crawl as cr
+from catalogspark.operators import evidence as ev
+from catalogspark.operators import extraction as ex
+from catalogspark.plans.registry import query
+
+SITES = (
+    ur.SitePattern("commercial", r"(?:[a-z0-9-]+\.)*example\.com", r"/[a-z]{2}/\d{3,}(?:\.html)?/?", (r"/[a-z]{2}/\d{1,2}/?",), r"/(\d{3,})(?:\.html)?/?$"),
+    ur.SitePattern("community", r"(?:[a-z0-9-]+\.)*example\.org", r"/(?:en|de)/\d+/?", (r"/fr/\d+/?",), r"/([a-z]{2}/\d+)/?$"),
+)
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+_PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query("snapshot_hash", "SELECT page_id, sha256(html) AS sha256, true AS intact FROM pages")
+def _(t):
+    digest = F.sha2("html", 256)
+    manifest = t.pages.select("page_id", digest.alias("declared"))
+    joined = t.pages.select("page_id", digest.alias("sha256")).join(manifest, "page_id")
+    return joined.select("page_id", "sha256", (F.col("sha256") == F.col("declared")).alias("intact"))
+
+
+@query("html_complete", """SELECT page_id, NOT contains(html, '[Truncated]') AND ends_with(rtrim(html), '</html>') AS complete FROM pages""")
+def _(t):
+    return t.pages.select("page_id", cr.is_complete_html("html").alias("complete"))
+
+
+@query("classify_url", f"""SELECT page_id, CASE WHEN contains(url, '?') OR contains(url, '#') OR url NOT LIKE 'https:%' THEN NULL
+ WHEN regexp_matches(h, '^([a-z0-9-]+\\.)*example\\.com$') AND regexp_full_match(p, '(?i)/[a-z]{{2}}/\\d{{1,2}}/?') THEN 'listing'
+ WHEN regexp_matches(h, '^([a-z0-9-]+\\.)*example\\.com$') AND regexp_full_match(p, '(?i)/[a-z]{{2}}/\\d{{3,}}(\\.html)?/?') THEN 'product'
+ WHEN regexp_matches(h, '^([a-z0-9-]+\\.)*example\\.org$') AND regexp_full_match(p, '(?i)/fr/\\d+/?') THEN 'listing'
+ WHEN regexp_matches(h, '^([a-z0-9-]+\\.)*example\\.org$') AND regexp_full_match(p, '(?i)/(en|de)/\\d+/?') THEN 'product' END AS kind
+ FROM (SELECT page_id, url, {_HOST} AS h, {_PATH} AS p FROM pages)""")
+def _(t):
+    return t.pages.select("page_id", ur.classify_url("url", SITES).alias("kind"))
+
+
+@query("url_reference", f"""SELECT page_id, CASE WHEN h LIKE '%example.com' THEN nullif(regexp_extract(p, '/(\\d{{3,}})(\\.html)?/?$', 1), '')
+ WHEN h LIKE '%example.org' THEN upper(nullif(regexp_extract(p, '/([a-z]{{2}}/\\d+)/?$', 1), '')) END AS reference
+ FROM (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages)""")
+def _(t):
+    return t.pages.select("page_id", ur.url_reference("url", SITES).alias("reference"))
+
+
+@query("safe_links", """SELECT page_id, url LIKE 'https://%' AND (page_id % 2 = 0 OR NOT contains(url, '//www.')) AS safe FROM pages""")
+def _(t):
+    link = F.when(F.col("page_id") % 2 == 1, F.regexp_replace("url", "//www\\.", "//user:pass@www.")).otherwise(F.col("url"))
+    return t.pages.select("page_id", ur.is_safe_link(link).alias("safe"))
+
+
+@query("block_pages", """SELECT page_id, contains(lower(substr(b, 1, 6000)), '<title>just a moment') OR length(html) < 2000 AS blocked
+ FROM (SELECT page_id, html, CASE WHEN contains(url, 'm.') THEN replace(html, '<title>', '<title>Just a moment ') ELSE html END AS b FROM pages)""")
+def _(t):
+    body = F.when(F.col("url").contains("m."), F.replace("html", F.lit("<title>"), F.lit("<title>Just a moment "))).otherwise(F.col("html"))
+    status = F.when(F.length("html") < 2000, 403).otherwise(200)
+    return t.pages.select("page_id", cr.is_blocked(body, status).alias("blocked"))
+
+
+@query("hit_filter", r"""SELECT doc_id, regexp_matches(text, '(?i)\b(?:replica|counterfeit|replacement|watch bands?|watch straps?|box only|parts only)\b|^(?:strap|bracelet|box|buckle)\s+(?:for|compatible)')
+ OR lang = 'fr' AS accessory FROM documents""")
+def _(t):
+    title = F.when(F.col("lang") == "fr", F.concat(F.lit("Strap for "), "text")).otherwise(F.col("text"))
+    return t.documents.select("doc_id", ev.is_accessory(title).alias("accessory"))
+
+
+@query("page_links", """WITH w AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages)
+ SELECT page_id, CAST(pos - 1 AS INT) AS ord, href FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS pos FROM w)""")
+def _(t):
+    return cr.page_links(t.pages, "page_id", "html")
+
+
+@query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def _(t):
+    return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("page_h1", "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1 FROM pages")
+def _(t):
+    return t.pages.select("page_id", html_text(F.regexp_extract("html", "(<h1>[^<]*</h1>)", 1)).alias("h1"))
+
+
+@query("page_facts")
+def _(t):
+    return ex.extract_facts(t.pages, "page_id", "html")
+
+
+@query("page_fact_counts", """SELECT CAST(page_id AS VARCHAR) AS page_id, len(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"')) AS links,
+ len(regexp_extract_all(html, '<h1>')) AS h1s, len(regexp_extract_all(html, '<title>')) AS titles FROM pages""")
+def _(t):
+    # The parser's result checked by an independent route.
+    facts = ex.extract_facts(t.pages, "page_id", "html")
+    return facts.groupBy("page_id").agg(
+        F.count_if(F.col("kind") == "link").alias("links"), F.count_if(F.col("kind") == "h1").alias("h1s"),
+        F.count_if(F.col("kind") == "title").alias("titles"))
+
+
+_RULES = [("*", False, "/fr/"), ("*", True, "/fr/*.html$"), ("catalogbot", False, "/*?page="), ("catalogbot", True, "/en/"),
+          ("catalogbot", False, "/en/9"), ("*", False, "/de/")]
+
+
+def _rules(t):
+    """Every host states the same groups, except that .org hosts have no group of our own."""
+    groups = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(b).alias("allow"), F.lit(p).alias("pattern")) for a, b, p in _RULES])
+    hosts = t.pages.select(ur.host("url").alias("host")).distinct()
+    rules = hosts.select("host", F.inline(groups))
+    return rules.where(~(F.col("host").endswith(".org") & (F.col("agent") == "catalogbot")))
+
+
+@query("robots_decide", f"""WITH u AS (SELECT page_id, {_HOST} AS h, {_PATH} || regexp_extract(url, '\\?[^#]*') AS p FROM pages)
+ SELECT page_id, CASE WHEN h LIKE '%.org' THEN CASE WHEN regexp_matches(p, '^/fr/.*\\.html$') THEN true WHEN starts_with(p, '/fr/') OR starts_with(p, '/de/') THEN false ELSE true END
+  ELSE CASE WHEN regexp_matches(p, '^/.*\\?page=') THEN false WHEN starts_with(p, '/en/9') THEN false ELSE true END END AS allowed FROM u""")
+def _(t):
+    rules = cr.select_agent_rules(_rules(t), "CatalogBot")
+    return cr.robots_decide(t.pages.select("page_id", "url"), rules).select("page_id", "allowed")
+
+
+@query("grant_decide", f"""WITH u AS (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages)
+ SELECT page_id, h NOT LIKE '%.net' AND (starts_with(p, '/en/') OR p = '/en' OR (h LIKE '%.com' AND starts_with(p, '/de/'))) AS granted FROM u""")
+def _(t):
+    hosts = t.pages.select(ur.host("url").alias("h")).distinct()
+    base = F.concat(F.lit("https://"), "h")
+    scopes = F.array(
+        F.struct(F.concat(base, F.lit("/en")).alias("url_prefix"), F.lit("2027-01-01").cast("date").alias("valid_until"), F.lit("letter").alias("evidence")),
+        F.struct(F.concat(base, F.lit("/de/")).alias("url_prefix"), F.when(F.col("h").endswith(".com"), "2027-01-01").otherwise("2020-01-01").cast("date").alias("valid_until"),
+                 F.lit("letter").alias("evidence")),
+        F.struct(F.concat(base, F.lit("/fr")).alias("url_prefix"), F.lit("2027-01-01").cast("date").alias("valid_until"), F.lit("").alias("evidence")))
+    grants = hosts.where(~F.col("h").endswith(".net")).select(F.inline(scopes)).withColumn("reuse", F.lit(True))
+    return cr.grant_decide(t.pages.select("page_id", "url"), grants, "reuse", F.lit("2026-10-01").cast("date")).select("page_id", "granted")
+
+
+@query("octet_paths", f"""SELECT page_id, {_PATH} || '/caf%C3%A9~%2F' AS path FROM pages""")
+def _(t):
+    # '%7e' decodes, '%2f' keeps its escape, and non-ASCII is encoded.
+    return t.pages.select("page_id", ur.normalise_octets(F.concat(ur.path("url"), F.lit("/café%7e%2f"))).alias("path"))
