@@ -65,6 +65,9 @@ _IN_CONTEXT = (
 )
 
 
+_SEPARATORS = "\x01\x02\x03\x04"
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body``: array functions are not shared between expressions."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
@@ -72,9 +75,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def price_candidates(text: Column | str) -> Column:
     """array<struct<amount,currency,mark,raw>> of the figures in ``text`` that read as a plain asking price."""
-    text = _col(text)
-    before, raws, after = [F.regexp_extract_all(text, F.lit(_IN_CONTEXT), F.lit(i)) for i in (1, 2, 3)]
-    matches = F.arrays_zip(before.alias("before"), raws.alias("raw"), after.alias("after"))
+    text = F.translate(_col(text), _SEPARATORS, "    ")
+    # One pass marks every match with its context; the pieces are then cut at the marks.
+    marked = F.regexp_replace(text, _IN_CONTEXT, "{}$1{}$2{}$3{}".format(*_SEPARATORS))
+    found = _let(F.split(marked, _SEPARATORS[0]), lambda pieces: F.slice(pieces, 2, F.size(pieces)))
+    matches = F.transform(found, lambda piece: _let(
+        F.split(piece, f"[{_SEPARATORS[1:]}]"),
+        lambda cut: F.struct(F.get(cut, 0).alias("before"), F.get(cut, 1).alias("raw"), F.get(cut, 2).alias("after"))))
 
     def read(m: Column) -> Column:
         number = F.regexp_extract(m["raw"], _NUMBER, 0)
