@@ -162,6 +162,15 @@ def extract_facts(pages: DataFrame, id_col: str, body: str) -> DataFrame:
     return pages.select(F.col(id_col).cast("string").alias("k"), F.col(body).alias("b")).mapInPandas(run, FACT_SCHEMA)
 
 
+def register_udtf(spark, name: str = "page_facts") -> None:
+    """SQL table function over one page, for ad-hoc lateral joins."""
+    class PageFacts:
+        def eval(self, page_id: str, html: str):
+            yield from page_facts(page_id, html)
+
+    spark.udtf.register(name, F.udtf(PageFacts, returnType=FACT_SCHEMA))
+
+
 @dataclass(frozen=True)
 class FieldMap:
     """One mapping row: which label of which site and section feeds which column, and with what precedence."""
