@@ -43,7 +43,9 @@ _ACCENTED, _PLAIN = _accent_table()
 
 
 def strip_accents(c: Column | str) -> Column:
-    return F.translate(_col(c), _ACCENTED, _PLAIN)
+    """Latin letters without their marks; pure ASCII text skips the character table."""
+    c = _col(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, _ACCENTED, _PLAIN)).otherwise(c)
 
 
 def fold(c: Column | str) -> Column:

@@ -141,21 +141,35 @@ def reference_pattern(reference: Column | str) -> Column:
     return F.concat(F.lit("(?i)(?<![a-z0-9])"), F.array_join(parts, _SEPARATORS), F.lit("(?![a-z0-9])"))
 
 
-def has_reference(text: Column | str, reference: Column | str) -> Column:
-    """Exact reference evidence. The cheap containment test spares most rows the per-row pattern."""
-    text, key = _col(text), compact(reference)
-    near = F.contains(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), key)
-    return F.coalesce(F.when(near, F.rlike(text, reference_pattern(reference))), F.lit(False))
-
-
-def has_other_reference(text: Column | str, reference: Column | str) -> Column:
-    """A different reference of the same letter/digit shape is in the text. Bare numbers are no evidence."""
+def shape_pattern(reference: Column | str) -> Column:
+    """Pattern of every text with the letters and digits of ``reference`` in the same places; null for bare numbers,
+    which look like prices."""
     reference = _col(reference)
     parts = F.regexp_extract_all(reference, F.lit("[A-Za-z0-9]+"), F.lit(0))
     shapes = F.transform(
         parts, lambda p: F.regexp_replace(F.regexp_replace(p, "[A-Za-z]", "[a-z]"), r"\d", r"\\d")
     )
     pattern = F.concat(F.lit("(?i)(?<![a-z0-9])"), F.array_join(shapes, _SEPARATORS), F.lit("(?![a-z0-9])"))
-    seen = F.regexp_extract_all(_col(text), pattern, F.lit(0))
-    other = F.exists(seen, lambda m: F.regexp_replace(F.lower(m), "[^a-z0-9]", "") != compact(reference))
-    return F.coalesce(F.when(~reference.rlike(r"^\d+$") & (F.size(parts) > 0), other), F.lit(False))
+    return F.when(~reference.rlike(r"^\d+$") & (F.size(parts) > 0), pattern)
+
+
+def mentions(text: Column | str, key: Column, pattern: Column) -> Column:
+    """Exact reference evidence from a product's prepared ``key`` and ``pattern``. The cheap containment test spares
+    most rows the per-row pattern."""
+    text = _col(text)
+    near = F.contains(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), key)
+    return F.coalesce(F.when(near, F.rlike(text, pattern)), F.lit(False))
+
+
+def mentions_other(text: Column | str, key: Column, shape: Column) -> Column:
+    """A different reference of the same shape is in the text."""
+    seen = F.regexp_extract_all(_col(text), shape, F.lit(0))
+    return F.coalesce(F.exists(seen, lambda m: F.regexp_replace(F.lower(m), "[^a-z0-9]", "") != key), F.lit(False))
+
+
+def has_reference(text: Column | str, reference: Column | str) -> Column:
+    return mentions(text, compact(reference), reference_pattern(reference))
+
+
+def has_other_reference(text: Column | str, reference: Column | str) -> Column:
+    return mentions_other(text, compact(reference), shape_pattern(reference))

@@ -108,7 +108,7 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, max_rounds: int = 64) ->
     Breadth first: each round joins only the newest nodes, keeps targets not seen before and cuts the lineage, so
     the plan stays constant and a lost executor costs one round. The driver sees one boolean per round.
     """
-    edges = links.select("src", "dst").distinct()
+    edges = cut_lineage(links.select("src", "dst").distinct())
     frontier = cut_lineage(seeds.select("node").distinct().select("node", F.lit("seed").alias("origin"),
                                                                   F.lit(0).alias("round")))
     seen = frontier

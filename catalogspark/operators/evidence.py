@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.dates import reported_date
 from catalogspark.functions.money import condition_label, sole_price
-from catalogspark.functions.text import _col
-from catalogspark.functions.urls import has_other_reference, has_reference, host, is_safe_link, path
+from catalogspark.functions.text import _col, compact
+from catalogspark.functions.urls import (
+    host, is_safe_link, mentions, mentions_other, path, reference_pattern, shape_pattern,
+)
 from catalogspark.operators.merge import latest_state
 from catalogspark.operators.ordered import top_per_key
+from catalogspark.shaping import once
 
 # Titles of accessories, copies and parts.
 ACCESSORY_TITLE = (
@@ -36,26 +39,28 @@ def names_brand(text: Column, brand: Column | str) -> Column:
     return F.coalesce(F.when(near, F.rlike(text, F.concat(F.lit(r"(?i)\b"), word, F.lit(r"\b")))), F.lit(False))
 
 
-def is_identified(title: Column, snippet: Column, link: Column, reference: Column) -> Column:
+def is_identified(title: Column, snippet: Column, link: Column, key: Column, pattern: Column) -> Column:
     """The snippet names the reference, or the title and the link's path both do."""
-    return has_reference(snippet, reference) | (
-        has_reference(title, reference) & has_reference(path(link), reference))
+    return mentions(snippet, key, pattern) | (mentions(title, key, pattern) & mentions(path(link), key, pattern))
 
 
 def match_hits(products: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits (id, title, snippet, link, date, position) that identify their product and are no accessory.
 
-    Cheap tests come first; the per-row reference pattern runs on what is left.
+    Patterns are prepared once per product, before the join. Cheap tests come first; the per-row patterns run on
+    what is left.
     """
-    joined = hits.join(products.select("id", "brand", "reference"), "id")
+    prepared = products.select(
+        "id", "brand", "reference", compact("reference").alias("__key"), reference_pattern("reference").alias("__pattern"),
+        shape_pattern("reference").alias("__shape"))
+    cheap = hits.where(is_safe_link("link") & ~is_accessory("title")).join(prepared, "id")
     evidence = F.concat_ws(" ", "title", "snippet")
-    cheap = joined.where(is_safe_link("link") & ~is_accessory("title"))
-    reference = F.col("reference")
-    return cheap.where(
-        names_brand(evidence, "brand") & has_reference(evidence, reference)
-        & ~has_other_reference("snippet", reference)
-        & is_identified(F.col("title"), F.col("snippet"), F.col("link"), reference)
+    key, pattern = F.col("__key"), F.col("__pattern")
+    matched = cheap.where(
+        is_identified(F.col("title"), F.col("snippet"), F.col("link"), key, pattern)
+        & names_brand(evidence, "brand") & ~mentions_other("snippet", key, F.col("__shape"))
     )
+    return matched.drop("__key", "__pattern", "__shape")
 
 
 def price_reports(products: DataFrame, hits: DataFrame, now: Column, n: int = REPORTS_PER_PRODUCT) -> DataFrame:
@@ -64,7 +69,7 @@ def price_reports(products: DataFrame, hits: DataFrame, now: Column, n: int = RE
     Both the url dedupe and the top-n are trimmed inside the map tasks before the shuffle.
     """
     evidence = F.concat_ws(" ", "title", "snippet")
-    found = match_hits(products, hits).withColumn("__p", sole_price("snippet")).where(F.col("__p").isNotNull())
+    found = once(match_hits(products, hits), __p=sole_price("snippet")).where(F.col("__p").isNotNull())
     reports = found.select(
         "id", F.col("link").alias("source_url"), host("link").alias("source_domain"), F.col("position"),
         reported_date("date", now).alias("source_date"), condition_label(evidence).alias("condition"),

@@ -19,6 +19,7 @@ from catalogspark.functions.text import clean, label_key, norm_ref
 from catalogspark.functions.urls import url_key
 from catalogspark.operators.merge import first_by_priority
 from catalogspark.schema import COLUMNS, FACT_SCHEMA
+from catalogspark.shaping import spread
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HEADINGS = frozenset(("h2", "h3", "h4", "h5", "label"))
@@ -159,7 +160,8 @@ def extract_facts(pages: DataFrame, id_col: str, body: str) -> DataFrame:
             rows = [fact for key, html in zip(batch["k"], batch["b"]) for fact in page_facts(key, html)]
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select(F.col(id_col).cast("string").alias("k"), F.col(body).alias("b")).mapInPandas(run, FACT_SCHEMA)
+    rows = spread(pages.select(F.col(id_col).cast("string").alias("k"), F.col(body).alias("b")))
+    return rows.mapInPandas(run, FACT_SCHEMA)
 
 
 def register_udtf(spark, name: str = "page_facts") -> None:

@@ -24,12 +24,14 @@ def merge_refresh(current: DataFrame, captures: DataFrame, target: Column, field
     A matched target takes the captured ``fields`` and keeps its id; an unmatched target stays as a historical
     record with the ``historical`` expressions applied; an unmatched capture is added. Rows outside the target
     are passed through unjoined. Both inputs carry ``id, brand, reference`` and ``fields``.
+
+    A key that occurs twice on either side fails the job. The check shares the join's partitioning, and it keeps one
+    row per key, so even a key with a third of all rows is reported instead of being multiplied.
     """
-    rest = current.where(~target).withColumn("status", F.col("status"))
-    old = current.where(target).withColumn("__k", match_key())
-    new = captures.withColumn("__k", match_key())
-    left = old.select("__k", F.struct(*[F.col(c) for c in old.columns if c != "__k"]).alias("o"))
-    right = new.select("__k", F.struct("id", "brand", "reference", *fields).alias("n"))
+    rest = current.where(~target)
+    old = current.where(target)
+    left = _unique_by_key(old, F.struct(*old.columns), "o", "Ambiguous catalog reference ")
+    right = _unique_by_key(captures, F.struct("id", "brand", "reference", *fields), "n", "Duplicate refreshed reference ")
     joined = left.join(right, "__k", "full_outer")
     captured, existing = F.col("n").isNotNull(), F.col("o").isNotNull()
     columns = {
@@ -47,6 +49,12 @@ def merge_refresh(current: DataFrame, captures: DataFrame, target: Column, field
     return rest.select(*columns).unionByName(masked.select(*columns))
 
 
+def _unique_by_key(df: DataFrame, row: Column, out: str, message: str) -> DataFrame:
+    grouped = df.groupBy(match_key().alias("__k")).agg(F.count("*").alias("__n"), F.any_value(row).alias("__row"))
+    failure = F.raise_error(F.concat(F.lit(message), F.col("__k")))
+    return grouped.select("__k", F.when(F.col("__n") == 1, F.col("__row")).otherwise(failure).alias(out))
+
+
 def ambiguous_keys(df: DataFrame) -> DataFrame:
     """Match keys that more than one row carries; a refresh must not start while there are any."""
     return df.groupBy(match_key().alias("match_key")).agg(F.count("*").alias("n")).where(F.col("n") > 1)

@@ -307,11 +307,10 @@ def _(t):
     return rc.totals_reconcile(declared, t.lineitem.select(F.col("l_suppkey").alias("k")), "k")
 
 
-@query("work_order", """SELECT event_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS kind_rank FROM events
- ORDER BY kind_rank, user_id, event_id LIMIT 100""")
+@query("work_order", """SELECT event_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS kind_rank FROM events""")
 def _(t):
     kind = F.when(F.col("event_type") == "signup", "sitemap").when(F.col("event_type") == "view", "listing").otherwise("product")
-    return cr.work_order(t.events.withColumn("kind", kind)).orderBy("kind_rank", "user_id", "event_id").limit(100).select("event_id", "kind_rank")
+    return cr.work_order(t.events.withColumn("kind", kind)).select("event_id", "kind_rank")
 
 
 # Extraction steps over facts derived from the catalog.

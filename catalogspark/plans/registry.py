@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.operators.facets import build_facets
+from catalogspark.shaping import spread
 from catalogspark.sources.index import with_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents for pattern-heavy work, over all cores."""
+        return spread(self.documents)
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        return spread(self.pages)
+
     @cached_property
     def catalog(self) -> DataFrame:
         size = F.col("p_size")

@@ -17,12 +17,12 @@ from catalogspark.plans.registry import CATALOG, query
 
 @query("clean_text", r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", F.md5(tx.clean("text")).alias("cleaned"))
+    return t.texts.select("doc_id", F.md5(tx.clean("text")).alias("cleaned"))
 
 
 @query("fold_text", "SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.md5(tx.fold("text")).alias("folded"))
+    return t.texts.select("doc_id", F.md5(tx.fold("text")).alias("folded"))
 
 
 @query("norm_ref", "SELECT c_custkey, regexp_replace(upper(c_name || '/' || c_mktsegment || '-x'), '[^A-Z0-9]', '', 'g') AS ref FROM customer")
@@ -32,7 +32,7 @@ def _(t):
 
 @query("compact_key", "SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS key FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.md5(tx.compact("text")).alias("key"))
+    return t.texts.select("doc_id", F.md5(tx.compact("text")).alias("key"))
 
 
 @query("label_key", r"""SELECT o_orderkey, trim(regexp_replace(replace(lower(o_orderpriority), '-', ' '), '[^a-z0-9 ]', '', 'g')) AS label FROM orders""")
@@ -80,7 +80,7 @@ def _(t):
  SELECT doc_id, md5(string_agg(term, ' ' ORDER BY pos)) AS terms, count(*) AS n FROM f GROUP BY 1""")
 def _(t):
     terms = tx.ordered_distinct(tx.tokens("text"))
-    return t.documents.select("doc_id", F.md5(F.array_join(terms, " ")).alias("terms"), F.size(terms).cast("long").alias("n")).where("n > 0")
+    return t.texts.select("doc_id", F.md5(F.array_join(terms, " ")).alias("terms"), F.size(terms).cast("long").alias("n")).where("n > 0")
 
 
 _TERMS = tuple((n, tm.whole_words(p)) for n, p in (
@@ -93,7 +93,7 @@ _W = r"(^|[^\p{L}\p{N}_])(%s)([^\p{L}\p{N}_]|$)"
  regexp_matches(text, '(?i){_W % 'the'}') AS b, regexp_matches(text, '(?i){_W % 'der'}') AS c, regexp_matches(text, '(?i){_W % 'les?'}') AS d,
  regexp_matches(text, '(?i){_W % 'los'}') AS e FROM documents)""")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(tm.term_extract("text", _TERMS, {"fine": "very fine"}), "; ").alias("terms"))
+    return t.texts.select("doc_id", F.array_join(tm.term_extract("text", _TERMS, {"fine": "very fine"}), "; ").alias("terms"))
 
 
 @query("clause_colors", """SELECT p_partkey, concat_ws('|', CASE WHEN contains(p_name, 'red') OR contains(p_name, 'blue') THEN p_name END, CASE WHEN p_type = 'LARGE' THEN 'green strap' END) AS colours FROM part""")
@@ -111,7 +111,7 @@ _PHRASES = (r"the and", r"of the", r"the", r"and", r"les? [a-z]+")
 def _(t):
     # Plain ASCII words, where word boundaries mean the same in every pattern dialect.
     found = tm.phrase_extract(F.regexp_replace(tx.fold("text"), "[^a-z0-9]+", " "), _PHRASES)
-    return t.documents.select("doc_id", F.array_join(found, "|").alias("phrases")).where("phrases <> ''")
+    return t.texts.select("doc_id", F.array_join(found, "|").alias("phrases")).where("phrases <> ''")
 
 
 @query("binary_decode", "SELECT p_partkey, p_name AS decoded, CAST(NULL AS VARCHAR) AS undecoded FROM part")
@@ -173,7 +173,7 @@ def _(t):
  FROM (SELECT doc_id, text || CASE lang WHEN 'de' THEN ' Pre-owned' WHEN 'fr' THEN ' MSRP' WHEN 'es' THEN ' retail, used' ELSE '' END AS e FROM documents))""")
 def _(t):
     extra = F.when(F.col("lang") == "de", " Pre-owned").when(F.col("lang") == "fr", " MSRP").when(F.col("lang") == "es", " retail, used").otherwise("")
-    return t.documents.select("doc_id", mn.condition_label(F.concat("text", extra)).alias("label"))
+    return t.texts.select("doc_id", mn.condition_label(F.concat("text", extra)).alias("label"))
 
 
 @query("reported_date", """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN CASE WHEN o_orderdate <= now THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END
@@ -218,7 +218,7 @@ def _(t):
  FROM (SELECT doc_id, CASE lang WHEN 'de' THEN '  @' WHEN 'fr' THEN '=' ELSE '' END || text || '"' AS v FROM documents)""")
 def _(t):
     lead = F.when(F.col("lang") == "de", "  @").when(F.col("lang") == "fr", "=").otherwise("")
-    return t.documents.select("doc_id", F.md5(tx.csv_cell(F.concat(lead, "text", F.lit('"')))).alias("cell"))
+    return t.texts.select("doc_id", F.md5(tx.csv_cell(F.concat(lead, "text", F.lit('"')))).alias("cell"))
 
 
 @query("record_id", """SELECT c_custkey, substr(sha256(c_name || '|' || CASE WHEN c_acctbal > 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'https://x/' || c_custkey END || '|' || c_mktsegment || '|'), 1, 24) AS id FROM customer""")

@@ -29,7 +29,7 @@ def _(t):
 
 @query("html_complete", """SELECT page_id, NOT contains(html, '[Truncated]') AND ends_with(rtrim(html), '</html>') AS complete FROM pages""")
 def _(t):
-    return t.pages.select("page_id", cr.is_complete_html("html").alias("complete"))
+    return t.snapshots.select("page_id", cr.is_complete_html("html").alias("complete"))
 
 
 @query("classify_url", f"""SELECT page_id, CASE WHEN contains(url, '?') OR contains(url, '#') OR url NOT LIKE 'https:%' THEN NULL
@@ -39,20 +39,20 @@ def _(t):
  WHEN regexp_matches(h, '^([a-z0-9-]+\\.)*example\\.org$') AND regexp_full_match(p, '(?i)/(en|de)/\\d+/?') THEN 'product' END AS kind
  FROM (SELECT page_id, url, {_HOST} AS h, {_PATH} AS p FROM pages)""")
 def _(t):
-    return t.pages.select("page_id", ur.classify_url("url", SITES).alias("kind"))
+    return t.snapshots.select("page_id", ur.classify_url("url", SITES).alias("kind"))
 
 
 @query("url_reference", f"""SELECT page_id, CASE WHEN h LIKE '%example.com' THEN nullif(regexp_extract(p, '/(\\d{{3,}})(\\.html)?/?$', 1), '')
  WHEN h LIKE '%example.org' THEN upper(nullif(regexp_extract(p, '/([a-z]{{2}}/\\d+)/?$', 1), '')) END AS reference
  FROM (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages)""")
 def _(t):
-    return t.pages.select("page_id", ur.url_reference("url", SITES).alias("reference"))
+    return t.snapshots.select("page_id", ur.url_reference("url", SITES).alias("reference"))
 
 
 @query("safe_links", """SELECT page_id, url LIKE 'https://%' AND (page_id % 2 = 0 OR NOT contains(url, '//www.')) AS safe FROM pages""")
 def _(t):
     link = F.when(F.col("page_id") % 2 == 1, F.regexp_replace("url", "//www\\.", "//user:pass@www.")).otherwise(F.col("url"))
-    return t.pages.select("page_id", ur.is_safe_link(link).alias("safe"))
+    return t.snapshots.select("page_id", ur.is_safe_link(link).alias("safe"))
 
 
 @query("block_pages", """SELECT page_id, contains(lower(substr(b, 1, 6000)), '<title>just a moment') OR length(html) < 2000 AS blocked
@@ -60,14 +60,14 @@ def _(t):
 def _(t):
     body = F.when(F.col("url").contains("m."), F.replace("html", F.lit("<title>"), F.lit("<title>Just a moment "))).otherwise(F.col("html"))
     status = F.when(F.length("html") < 2000, 403).otherwise(200)
-    return t.pages.select("page_id", cr.is_blocked(body, status).alias("blocked"))
+    return t.snapshots.select("page_id", cr.is_blocked(body, status).alias("blocked"))
 
 
 @query("hit_filter", r"""SELECT doc_id, regexp_matches(text, '(?i)\b(?:replica|counterfeit|replacement|watch bands?|watch straps?|box only|parts only)\b|^(?:strap|bracelet|box|buckle)\s+(?:for|compatible)')
  OR lang = 'fr' AS accessory FROM documents""")
 def _(t):
     title = F.when(F.col("lang") == "fr", F.concat(F.lit("Strap for "), "text")).otherwise(F.col("text"))
-    return t.documents.select("doc_id", ev.is_accessory(title).alias("accessory"))
+    return t.texts.select("doc_id", ev.is_accessory(title).alias("accessory"))
 
 
 @query("page_links", """WITH w AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages)
@@ -78,12 +78,12 @@ def _(t):
 
 @query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return t.snapshots.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
 @query("page_h1", "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1 FROM pages")
 def _(t):
-    return t.pages.select("page_id", html_text(F.regexp_extract("html", "(<h1>[^<]*</h1>)", 1)).alias("h1"))
+    return t.snapshots.select("page_id", html_text(F.regexp_extract("html", "(<h1>[^<]*</h1>)", 1)).alias("h1"))
 
 
 @query("page_facts")
@@ -138,4 +138,4 @@ def _(t):
 @query("octet_paths", f"""SELECT page_id, {_PATH} || '/caf%C3%A9~%2F' AS path FROM pages""")
 def _(t):
     # '%7e' decodes, '%2f' keeps its escape, and non-ASCII is encoded.
-    return t.pages.select("page_id", ur.normalise_octets(F.concat(ur.path("url"), F.lit("/café%7e%2f"))).alias("path"))
+    return t.snapshots.select("page_id", ur.normalise_octets(F.concat(ur.path("url"), F.lit("/café%7e%2f"))).alias("path"))
