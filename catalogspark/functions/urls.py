@@ -50,6 +50,22 @@ def is_safe_link(c: Column | str) -> Column:
     return F.coalesce((scheme(c) == "https") & ~authority(c).contains("@"), F.lit(False))
 
 
+def resolve(base: Column | str, href: Column | str) -> Column:
+    """Absolute form of a link found on ``base``; null for other schemes such as mailto."""
+    base, href = _col(base), F.trim(_col(href))
+    origin = F.concat(scheme(base), F.lit("://"), authority(base))
+    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    page = F.regexp_replace(base, "[?#].*$", "")
+    return (
+        F.when(href.rlike(r"^(?i)https?://"), href)
+        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(href.rlike("^[?#]") | (href == ""), F.concat(page, href))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+    )
+
+
 @dataclass(frozen=True)
 class SitePattern:
     """URL rules of one source: which hosts are official and which paths are products or listings."""

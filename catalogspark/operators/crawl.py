@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.text import _col
-from catalogspark.functions.urls import host, needs_octets, normalise_octets, path, query, scheme
+from catalogspark.functions.urls import (
+    SitePattern, classify_url, host, needs_octets, normalise_octets, path, query, resolve, scheme, url_key, url_reference,
+)
 from catalogspark.session import cut_lineage
+from catalogspark.shaping import once
 
 # Markers of a bot-challenge page and the statuses that close a host.
 CHALLENGE_MARKERS = ("<title>access denied", "<title>just a moment", "cf-chl-", "<title>attention required",
@@ -96,6 +101,30 @@ def page_links(pages: DataFrame, id_col: str, body: str) -> DataFrame:
     return pages.select(F.col(id_col), F.posexplode(hrefs).alias("ord", "href"))
 
 
+def discover_links(pages: DataFrame, id_col: str, url: str, body: str, sites: Sequence[SitePattern],
+                   require_https: bool = True) -> DataFrame:
+    """(id, target, kind) of the official product and listing links of each page, distinct.
+
+    Anchors and addresses stated in inert JSON (``url``, ``href``, ``productUrl``) count; nothing is evaluated.
+    """
+    anchors = F.regexp_extract_all(F.col(body), F.lit('<a\\s[^>]*?href="([^"]*)"'), F.lit(1))
+    scripts = F.regexp_extract_all(
+        F.col(body), F.lit(r'(?is)<script[^>]*type="application/(?:ld\+)?json"[^>]*>(.*?)</script>'), F.lit(1))
+    stated = F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(
+        s, F.lit(r'"(?:url|href|productUrl)"\s*:\s*"([^"]+)"'), F.lit(1))))
+    rows = pages.select(F.col(id_col), F.col(url).alias("__base"), F.explode(F.array_distinct(F.concat(anchors, stated))).alias("__href"))
+    rows = once(rows, target=resolve("__base", "__href"))
+    found = once(rows, kind=classify_url("target", sites, require_https)).where(F.col("kind").isNotNull())
+    return found.select(id_col, "target", "kind").distinct()
+
+
+def listing_items(links: DataFrame, id_col: str, sites: Sequence[SitePattern]) -> DataFrame:
+    """(listing page, url, reference) of the products a listing page shows, one row per product."""
+    products = links.where(F.col("kind") == "product")
+    keyed = products.select(id_col, url_key("target").alias("url"), url_reference("target", sites).alias("reference"))
+    return keyed.distinct()
+
+
 def work_order(queue: DataFrame, kind: str = "kind", url: str = "url") -> DataFrame:
     """Add the processing rank of a queue entry: sitemaps, then listings, then products; order by (rank, url)."""
     rank = F.when(F.col(kind) == "sitemap", 0).when(F.col(kind) == "listing", 1).otherwise(2)

@@ -79,7 +79,7 @@ def condition(rule: Rule, field: Field) -> Column:
              "between": lambda: c.between(low, float(rule.value2))}
     test = tests[rule.op]()
     if field.kind == "price":
-        test = test & F.coalesce(field.currency == rule.currency, F.lit(False))
+        test = test & (field.currency == rule.currency)
     return test
 
 
@@ -104,7 +104,14 @@ def match_rules(df: DataFrame, rules: Sequence[Rule], fields: Mapping[str, Field
     if errors:
         raise ValueError("; ".join(errors))
     for rule in rules:
-        df = df.where(rule_predicate(rule, fields, allow_unknown))
+        field = fields[rule.field]
+        if rule.op == "known":
+            df = df.where(field.expr.isNotNull())
+        elif allow_unknown:
+            df = df.where(field.expr.isNull() | condition(rule, field))
+        else:
+            # A filter drops null anyway, so the bare condition is enough and can be pushed into the scan.
+            df = df.where(condition(rule, field))
     return df
 
 

@@ -57,12 +57,13 @@ def effective_spec(explicit: SearchSpec, parsed: SearchSpec) -> SearchSpec:
 
 
 def numeric_predicate(bounds: Mapping[tuple[str, str], float], columns: Mapping[str, Column] | None = None) -> Column:
-    """AND of the bounds. A null measure satisfies none of them."""
-    every = F.lit(True)
-    for (measure, op), value in bounds.items():
-        column = (columns or {}).get(measure, F.col(measure))
-        every = every & BOUND_OPS[op](column, F.lit(float(value)))
-    return F.coalesce(every, F.lit(False))
+    """AND of the bounds; null, hence no match, for an unknown measure. Left bare so a filter reaches the scan."""
+    tests = [BOUND_OPS[op]((columns or {}).get(measure, F.col(measure)), F.lit(float(value)))
+             for (measure, op), value in bounds.items()]
+    every = tests[0]
+    for one in tests[1:]:
+        every = every & one
+    return every
 
 
 def with_price(products: DataFrame, prices: DataFrame, source: str, currency: str) -> DataFrame:
@@ -76,7 +77,7 @@ def reference_predicate(query: str, key: Column) -> Column:
     wanted = "".join(ch for ch in query.lower() if ch.isascii() and ch.isalnum())
     if not any(ch.isdigit() for ch in wanted):
         return F.lit(False)
-    return F.coalesce(key.startswith(wanted), F.lit(False))
+    return key.startswith(wanted)
 
 
 def rank_tier(query: str, reference_key: Column, model: Column, collection: Column) -> Column:

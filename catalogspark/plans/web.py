@@ -76,6 +76,23 @@ def _(t):
     return cr.page_links(t.pages, "page_id", "html")
 
 
+_LINK_SITES = (ur.SitePattern("any", r"(?:[a-z0-9-]+\.)*example\.(?:com|org|net)", r"/[A-Za-z]{4,}", (r"/[a-z]{2,3}",), r"/([A-Za-z]{4,})$"),)
+_LINKS = f"""links AS (SELECT DISTINCT page_id, origin || href AS target, CASE WHEN regexp_full_match(href, '(?i)/[a-z]{{2,3}}') THEN 'listing' ELSE 'product' END AS kind
+ FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages)
+ WHERE regexp_full_match(href, '(?i)/[a-z]{{2,}}'))"""
+
+
+@query("discover_links", f"WITH {_LINKS} SELECT page_id, target, kind FROM links")
+def _(t):
+    return cr.discover_links(t.snapshots, "page_id", "url", "html", _LINK_SITES, require_https=False)
+
+
+@query("listing_items", f"WITH {_LINKS} SELECT DISTINCT page_id, target AS url, upper(regexp_extract(target, '/([A-Za-z]{{4,}})$', 1)) AS reference FROM links WHERE kind = 'product'")
+def _(t):
+    links = cr.discover_links(t.snapshots, "page_id", "url", "html", _LINK_SITES, require_https=False)
+    return cr.listing_items(links, "page_id", _LINK_SITES)
+
+
 @query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def _(t):
     return t.snapshots.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))

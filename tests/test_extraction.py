@@ -90,3 +90,38 @@ def test_udtf(spark):
     ex.register_udtf(spark)
     out = spark.sql("SELECT kind, value FROM VALUES ('<h1>A</h1>') AS t(html), LATERAL page_facts('k', t.html)").collect()
     assert [(r["kind"], r["value"]) for r in out] == [("h1", "A")]
+
+
+def test_pages_to_records(spark):
+    from catalogspark import jobs
+
+    own = {"@type": "Product", "url": URL, "sku": "m1-0001", "name": "Own", "offers": {"price": 0, "priceCurrency": "CHF"},
+           "additionalProperty": [{"name": "Diameter", "value": "39 mm"}]}
+    related = {"@type": "Product", "url": OTHER, "sku": "m1-0002", "name": "Other", "offers": [{"price": 99, "priceCurrency": "USD"}]}
+    html = ("<main><h1>Heading</h1><dl><dt>Diameter</dt><dd>99 mm</dd><dt>Crystal</dt><dd>Sapphire</dd></dl></main>"
+            f'<script type="application/ld+json">{json.dumps([related, own])}</script>')
+    pages = spark.createDataFrame([("1", URL, "M1-0001", html, "2026-10-01", "h"), ("2", OTHER, "M1-0002", "<h1>Bare</h1>", "2026-10-01", "h2")],
+                                  "page_id string, url string, reference string, html string, captured_at string, source_hash string")
+    records = jobs.extract_records(pages, ex.mapping_table(spark), F.lit("Maker"), F.lit("CH"), F.lit("en")).cache()
+    one, two = records.orderBy("page_id").collect()
+    assert (one["reference_number"], one["specific_model"], one["price"], one["currency"], one["diameter"], one["crystal"]) == (
+        "m1-0001", "Own", "0", "CHF", "39 mm", "Sapphire")
+    assert (two["reference_number"], two["specific_model"], two["price"]) == ("M1-0002", "Bare", None)
+    assert one["validation_errors"] == [] and "power_reserve" in one["missing_core_fields"] and len(one["id"]) == 24
+    assert jobs.reparse_check(records, records).count() == 0
+    accepted, rejected = jobs.accept(records)
+    assert accepted.count() == 2 and rejected.count() == 0
+
+
+def test_links_are_resolved_and_scoped(spark):
+    from catalogspark.functions.urls import SitePattern, resolve
+    from catalogspark.operators.crawl import discover_links
+
+    site = SitePattern("s", r"www\.shop\.example", r"/watches/m\d-\d{4}", (r"/watches",))
+    html = ('<a href="m1-0002">x</a><a class="n" href="/watches">y</a><a href="https://evil.example/watches/m1-0003">z</a><a href="mailto:a@b.c">m</a>'
+            '<script type="application/json">{"productUrl": "/watches/m1-0004", "other": "/watches/m1-0005"}</script>')
+    out = discover_links(spark.createDataFrame([("p", URL, html)], "id string, url string, html string"), "id", "url", "html", [site])
+    assert sorted((r["target"].split("example")[1], r["kind"]) for r in out.collect()) == [
+        ("/watches", "listing"), ("/watches/m1-0002", "product"), ("/watches/m1-0004", "product")]
+    df = spark.createDataFrame([("//cdn.x/a",), ("?p=2",), ("https://h/z",)], "href string")
+    assert [r[0] for r in df.select(resolve(F.lit("https://h/a/b?x=1"), "href")).collect()] == ["https://cdn.x/a", "https://h/a/b?p=2", "https://h/z"]
