@@ -101,7 +101,7 @@ def price_candidates(text: Column | str) -> Column:
         )
         return (p["amount"] >= SMALLEST_PRICE) & ~p["around"].rlike(_NOT_A_PRICE) & grouping
 
-    return F.when(text.rlike("(?i)" + _TOKEN), F.filter(F.transform(matches, read), plain))
+    return F.filter(F.transform(matches, read), plain)
 
 
 def sole_price(text: Column | str) -> Column:

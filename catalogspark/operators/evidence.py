@@ -34,9 +34,10 @@ def brand_word(brand: Column | str) -> Column:
 
 
 def names_brand(text: Column, brand: Column | str) -> Column:
-    word = brand_word(brand)
-    near = F.contains(F.lower(text), F.lower(word))
-    return F.coalesce(F.when(near, F.rlike(text, F.concat(F.lit(r"(?i)\b"), word, F.lit(r"\b")))), F.lit(False))
+    """The brand's word stands alone in the text. Everything but word characters becomes a space, so containment of
+    ' word ' is the whole-word test and no pattern is compiled per row."""
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "), F.lit(" "))
+    return F.coalesce(F.contains(words, F.concat(F.lit(" "), F.lower(brand_word(brand)), F.lit(" "))), F.lit(False))
 
 
 def is_identified(title: Column, snippet: Column, link: Column, key: Column, pattern: Column) -> Column:

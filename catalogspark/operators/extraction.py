@@ -227,11 +227,11 @@ def map_fields(facts: DataFrame, mapping: DataFrame, site: Column | None = None)
 
 
 def pivot_records(fields: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """One wide row per page with the fixed columns and a provenance map."""
-    wide = fields.groupBy("page_id").pivot("field", list(columns)).agg(F.first("value", ignorenulls=True))
-    located = fields.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "field", F.struct("locator", "value")))).alias("provenance"))
-    return wide.join(located, "page_id")
+    """One wide row per page with the fixed columns and a provenance map, in one grouped pass. A page has at most one
+    fact per column, so the group is bounded."""
+    values = [F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in columns]
+    located = F.map_from_entries(F.collect_list(F.struct("field", F.struct("locator", "value"))))
+    return fields.groupBy("page_id").agg(*values, located.alias("provenance"))
 
 
 def selected_product(pages: DataFrame, json_text: str, url: Column, reference: Column) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.functions.text import compact
 from catalogspark.operators import facets as fc
 from catalogspark.operators import rules as rl
 from catalogspark.operators import search as se
@@ -132,13 +131,12 @@ def _(t):
 
 
 @query("rank_tiers", f"""WITH {CATALOG} SELECT row_number() OVER (ORDER BY tier, id) AS rank, id, tier FROM (
- SELECT id, CASE WHEN reference_key = 'red' THEN 0 WHEN reference_key LIKE 'red%' THEN 1
-  WHEN model = 'red ring' OR lower(collection) = 'red ring' THEN 2 ELSE 3 END AS tier FROM catalog
+ SELECT id, CASE WHEN reference_key = 'redring' THEN 0 WHEN reference_key LIKE 'redring%' THEN 1
+  WHEN lower(model) = 'red ring' OR lower(collection) = 'red ring' THEN 2 ELSE 3 END AS tier FROM catalog
   WHERE list_contains(string_split(model, ' '), 'red')) ORDER BY tier, id LIMIT 24""")
 def _(t):
-    rows = t.catalog.join(fc.facet_any(t.facets, "complication", ["red"]), "id", "left_semi").where(F.col("model").isNotNull())
-    tier = F.when(compact(F.lit("red")) == F.col("reference_key"), 0).when(F.col("reference_key").startswith("red"), 1).when(
-        (F.lower("model") == "red ring") | (F.lower("collection") == "red ring"), 2).otherwise(3)
+    rows = t.catalog.join(fc.facet_any(t.facets, "complication", ["red"]), "id", "left_semi")
+    tier = se.rank_tier("Red ring", F.col("reference_key"), F.col("model"), F.col("collection"))
     page = se.page_of(rows.select("id", tier.alias("tier")), [F.col("tier").asc(), F.col("id").asc()])
     return page.select(F.col("rank").cast("long").alias("rank"), "id", "tier")
 
