@@ -126,22 +126,35 @@ class Merger:
             return out
         ids = self.single[np.frombuffer(b"".join(tokens[i] for i in short), np.uint8)]
         owner = np.repeat(np.array(short), [len(tokens[i]) for i in short])
+        rank = np.full(len(ids), _NONE)  # of the pair that begins here
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        ready_ids, ready_at, ready_sizes = [], [], []
         while len(ids):
-            rank = np.full(len(ids), _NONE)
-            same = owner[1:] == owner[:-1]
-            rank[:-1][same] = self._rank(ids[:-1][same], ids[1:][same])
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
-            lowest = np.minimum.reduceat(rank, first)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             sizes = np.diff(np.append(first, len(ids)))
-            over = np.repeat(lowest == _NONE, sizes)
-            for part, at in zip(np.split(ids[over], np.cumsum(sizes[lowest == _NONE])[:-1]) if over.any() else (), owner[first[lowest == _NONE]]):
-                out[at] = part.tolist()
-            hits = np.flatnonzero((rank == np.repeat(lowest, sizes)) & ~over)
-            hits = hits[np.unique(owner[hits], return_index=True)[1]]  # leftmost; owners ascend
+            lowest = np.minimum.reduceat(rank, first)
+            over = lowest == _NONE
+            keep = np.repeat(~over, sizes)
+            ready_ids.append(ids[~keep])
+            ready_at.append(owner[first[over]])
+            ready_sizes.append(sizes[over])
+            hits = np.flatnonzero((rank == np.repeat(lowest, sizes)) & keep)
+            if len(hits):  # the leftmost of each pre-token
+                hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
             ids[hits] = rank[hits]
-            keep = ~over
+            rank[hits] = rank[hits + 1]
             keep[hits + 1] = False
-            ids, owner = ids[keep], owner[keep]
+            here = np.cumsum(keep)[hits] - 1
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            for at in (here, here[here > 0] - 1):
+                at = at[at + 1 < len(ids)]
+                rank[at] = np.where(owner[at] == owner[at + 1], self._rank(ids[at], ids[at + 1]), _NONE)
+        flat, to = np.concatenate(ready_ids).tolist(), np.cumsum(np.concatenate(ready_sizes)).tolist()
+        begun = 0
+        for at, end in zip(np.concatenate(ready_at).tolist(), to):
+            out[at] = flat[begun:end]
+            begun = end
         return out
 
 
@@ -158,20 +171,27 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, compiled = Merger(read_ranks(SparkFiles.get(name))), regex.compile(pattern)
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, list[int]] = {}  # of this and the last generation of pre-tokens
+        older: dict[str, list[int]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ids, offsets = [], [0]
                 texts = [pretokens(compiled, text.as_py() or "") for text in batch.column("text")]
-                fresh = list({token for tokens in texts for token in tokens} - memo.keys())
+                fresh = []
+                for token in {token for tokens in texts for token in tokens} - memo.keys():
+                    found = older.get(token)
+                    if found is None:
+                        fresh.append(token)
+                    else:
+                        memo[token] = found
                 memo.update(zip(fresh, merger.merged([token.encode() for token in fresh])))
                 for tokens in texts:
                     for found in map(memo.__getitem__, tokens):
                         ids += found
                     offsets.append(len(ids))
                 if len(memo) > _MEMO:
-                    memo.clear()
+                    memo, older = {}, memo
                 array = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(ids, np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], array], [*kept, out])
 
@@ -195,11 +215,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "bytes") ->
                 batch = whole.slice(at, 1000)
                 column = batch.column(ids)
                 offsets = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-                parts = known.take(column.flatten())
+                parts = known.take(column.flatten())  # its data buffer is the joined bytes
                 sizes = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))])
-                joined = b"".join(parts.to_pylist())
                 ends = pa.py_buffer(sizes[offsets].astype(np.int32).tobytes())
-                array = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(joined)])
+                array = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, parts.buffers()[2] or pa.py_buffer(b"")])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], array], [*kept, out])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
