@@ -30,8 +30,10 @@ _STEP = 0x9E3779B97F4A7C17  # odd, so it has an inverse, and 3 modulo 4
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n + 1, base, np.uint64)
+    steps[0] = 1
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
+        return np.cumprod(steps)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

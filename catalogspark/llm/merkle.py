@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from catalogspark.llm.staging import written
 
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
-_LONGEST = 256
+_LONGEST = 96
 
 Tree = tuple[str, list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int]]]]]]]
 
@@ -34,7 +34,7 @@ def _digest(data: bytes) -> bytes:
 
 
 def sentences(paragraph: str) -> list[str]:
-    """Pieces of a paragraph; joined they are the paragraph. A piece beyond 256 characters is cut."""
+    """Pieces of a paragraph; joined they are the paragraph. A piece beyond 96 characters is cut."""
     return [s[i:i + _LONGEST] for s in _SENTENCE.findall(paragraph) for i in range(0, len(s), _LONGEST)]
 
 

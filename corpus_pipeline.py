@@ -1,12 +1,21 @@
-"""Cleaning pipeline over ``documents``: every stage is written as Parquet and read again as the next one's input."""
+"""Cleaning pipeline over ``documents``: every stage is written as Parquet and read again as the next one's input.
+
+Null doc_ids, null and empty texts, repeated rows and extra columns are each stage's operator's matter and defined there;
+an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalogspark.llm.bpe import RANKS, digests
+from catalogspark.llm.linededup import dedup_lines
+from catalogspark.llm.mixing import mixed
+from catalogspark.llm.neardup import one_per_class
 from catalogspark.llm.quality import quality_filter
 from catalogspark.llm.staging import shared_folder
 
@@ -18,15 +27,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs.select(*COLUMNS))
 
 
-def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
-    import public_tokenizers
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go; n_chars follows. A document that loses all lines stays, empty, until the next stage."""
+    cut = dedup_lines(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return one_per_class(docs.select(*COLUMNS))
 
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target margins of source, language and topic."""
+    return mixed(docs.select(*COLUMNS))
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
     return digests(docs, public_tokenizers.path(RANKS))
 
 
-STAGES = [("quality_rules", quality_rules), ("encode_bytes", encode_bytes)]
-#: Near-duplicate signatures have no SQL form; the stages are tested against brute force.
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("mix_sources", mix_sources), ("encode_bytes", encode_bytes)]
+#: Near-duplicate classes have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -34,6 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs
