@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import bpe, linededup, merkle, mixing, neardup, quality
+from catalogspark.llm import bpe, linededup, merkle, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup, "op2_neardup": neardup.op2_neardup, "op4_mixing": mixing.op4_mixing,
-    "op6_bpe": bpe.op6_bpe, "op8_quality": quality.op8_quality, "op9_merkle": merkle.op9_merkle,
+    "op5_toxicity": toxicity.op5_toxicity, "op6_bpe": bpe.op6_bpe, "op8_quality": quality.op8_quality, "op9_merkle": merkle.op9_merkle,
 }
 ORACLE = {"op1_linededup": linededup.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op8_quality": quality.ORACLE_SQL}
