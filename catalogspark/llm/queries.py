@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, quality, toxicity
+from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, quality, recurrent, toxicity
 
 QUERIES = {
-    "op1_linededup": linededup.op1_linededup, "op2_neardup": neardup.op2_neardup, "op3_language": language.op3_language,
-    "op4_mixing": mixing.op4_mixing,    "op5_toxicity": toxicity.op5_toxicity, "op6_bpe": bpe.op6_bpe, "op8_quality": quality.op8_quality, "op9_merkle": merkle.op9_merkle,
+    "op1_linededup": linededup.op1_linededup,
+    "op2_neardup": neardup.op2_neardup,
+    "op3_language": language.op3_language,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_language_model": recurrent.op7_language_model,
+    "op8_quality": quality.op8_quality,
+    "op9_merkle": merkle.op9_merkle,
     "op10_chat": chat.op10_chat,
 }
 ORACLE = {"op1_linededup": linededup.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op8_quality": quality.ORACLE_SQL}
