@@ -9,7 +9,7 @@ both ways to its full length. Two windows per line, forwards and backwards, cove
 exactly, so no pair of occurrences is ever compared: each later occurrence meets the first one only.
 
 The first occurrence by (doc_id, line) stays, every later one goes. Defined cases: null and empty texts have no lines;
-lines without a word belong to the run around them and are never a match by themselves; runs below ``MIN_WORDS`` words
+a line without a word goes or stays with the line before it and is never a match by itself; runs below ``MIN_WORDS`` words
 stay; identical rows are one document and stay alike; a null doc_id comes first; extra columns stay as they are.
 """
 
@@ -84,13 +84,17 @@ def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 starts, ends, owner, words = starts[full], ends[full], owner[full], words[full]
                 breaks = np.concatenate([[0], np.cumsum(part == 10)])
                 number = breaks[starts] - breaks[border[owner]]
+                # A line without a word goes with the line before it.
+                until = breaks[border[owner + 1]] - breaks[border[owner]]
+                within = np.flatnonzero(owner[1:] == owner[:-1])
+                until[within] = number[within + 1] - 1
                 hashes = [hash_spans(part, starts, ends, seed) for seed in (1, 2)]
                 first, last, at, print_, key, check = window_minima(hashes, words, owner, least)
                 rows = pa.array(owner[first])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a).take(rows), batch.column("version").slice(a, b - a).take(rows),
                     *[pa.array(x.view(np.int64)) for x in (print_, key, check)],
-                    *[pa.array(number[x].astype(np.int32)) for x in (at, first, last)],
+                    *[pa.array(x.astype(np.int32)) for x in (number[at], number[first], until[last])],
                 ], ["doc_id", "version", "fingerprint", "key", "check", "line", "from_line", "to_line"])
 
     schema = "doc_id long, version long, fingerprint long, key long, check long, line int, from_line int, to_line int"
@@ -143,13 +147,14 @@ WITH line AS (
   SELECT doc_id, n - 1 AS raw, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n
                                        FROM documents WHERE text <> '')),
 full_ AS (SELECT *, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM line WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY raw) AS c FROM full_),
-texts AS (SELECT doc_id, list(t ORDER BY i) AS ts, list(raw ORDER BY i) AS raws FROM placed GROUP BY doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY raw) AS c,
+           coalesce(lead(raw) OVER (PARTITION BY doc_id ORDER BY raw) - 1, 1000000000) AS until FROM full_),
+texts AS (SELECT doc_id, list(t ORDER BY i) AS ts, list(raw ORDER BY i) AS raws, list(until ORDER BY i) AS untils FROM placed GROUP BY doc_id),
 win AS (
   SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY a.doc_id, a.i
   UNION
   SELECT b.doc_id, max(a.i), b.i FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.i),
-content AS (SELECT win.*, array_to_string(list_slice(ts, s, e), chr(10)) AS k, raws[s] AS f, raws[e] AS l FROM win JOIN texts ON texts.doc_id = win.doc_id),
+content AS (SELECT win.*, array_to_string(list_slice(ts, s, e), chr(10)) AS k, raws[s] AS f, untils[e] AS l FROM win JOIN texts ON texts.doc_id = win.doc_id),
 later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM content) WHERE nth > 1),
 gone AS (SELECT DISTINCT line.doc_id, line.raw FROM later JOIN line ON line.doc_id = later.doc_id AND line.raw BETWEEN f AND l),
 kept AS (SELECT line.doc_id, string_agg(t, chr(10) ORDER BY line.raw) AS t FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.raw = line.raw
