@@ -34,13 +34,15 @@ PSEUDO_PAGES = 4.0
 
 
 def _trigrams(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of lower-cased bytes and their texts; none crosses a border of texts or holds a digit or sign."""
+    """Hashed trigrams of lower-cased bytes and their texts; none crosses a border of texts or holds a digit, a sign or
+    two blanks."""
     data = lowered(part)
     letter = ((data >= 97) & (data <= 122)) | (data >= 128) | (data == 32)
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    good = letter[:-2] & letter[1:-1] & letter[2:] & (owner[:-2] == owner[2:])
+    blank = data == 32
+    good = letter[:-2] & letter[1:-1] & letter[2:] & (owner[:-2] == owner[2:]) & ~(blank[1:-1] & (blank[:-2] | blank[2:]))
     wide = data.astype(np.uint32)
     mixed = (wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) * np.uint32(2654435761)
     return (mixed >> np.uint32(16)).astype(np.int64)[good], owner[:-2][good]

@@ -9,10 +9,12 @@ length. Production weights are 1 for each distinct shingle, so the similarity is
 ``weights="count"`` gives the weighted form.
 
 Exact copies are folded first, so signatures are made for distinct texts only. Bands of four coordinates join texts: in
-every bucket each text meets one centre only. Links are verified on whole shingle sets and followed to classes. Pairs
-that the centres leave open (both in one bucket, still in different classes) are then met in a second join, after a
-filter on set sizes and on the whole signature, and verified as well. No pair inside a class that is already known is
-emitted. 20 bands of 4 miss a pair of similarity 0.8 with probability 3e-5, the filter one in 10^9; nothing else is lost.
+every bucket each text meets one centre only. Links are verified on whole shingle sets and followed to classes. Buckets
+that still hold several classes get new centres for a few rounds; pairs that are open even then (both in one bucket, in
+different classes) are met in a last join, after a filter on set sizes, on the number of shingles that other classes have
+at all and on the whole signature, and verified as well.
+No pair inside a class that is already known is emitted. 20 bands of 4 miss a pair of similarity 0.8 with probability 3e-5, a filter on signatures with 2e-5; nothing
+else is lost.
 
 Defined cases: a null text is a class of its own; equal texts are one class, empty ones included; a text without words
 has no shingles and is like equal texts only; a text of one to four words is one shorter shingle; repeated rows and ties
@@ -32,8 +34,10 @@ from catalogspark.llm.staging import written
 from catalogspark.llm.text_arrays import as_bytes, blocks, hash_spans, mix, shingles, spans
 
 BANDS, ROWS, SIMILARITY = 20, 4, 0.8
-#: Of 80 coordinates a pair of similarity 0.8 agrees in 64 +- 3.6; fewer than 40 is beyond six deviations.
-LEAST_AGREEING = 40
+#: Rounds in which open buckets get a new centre before their remaining pairs are met one by one.
+CENTRES = 2
+PRUNES = 3
+PRECISE = 400
 
 
 def elements(words: np.ndarray, owner: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +158,7 @@ def gram_sets(docs: DataFrame, weights: str = "unit") -> DataFrame:
 
 
 def _promising(pairs: DataFrame, brief: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose sizes allow ``similarity`` and whose signatures agree in half of the coordinates."""
+    """Pairs (a, b) whose sizes allow ``similarity`` and whose signatures agree often enough."""
     one, two = (brief.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
     return pairs.join(one, "a").join(two, "b").where(_near(similarity)).select("a", "b").distinct()
 
@@ -162,22 +166,45 @@ def _promising(pairs: DataFrame, brief: DataFrame, similarity: float) -> DataFra
 def _near(similarity: float) -> Column:
     agreeing = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
     sizes = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    return sizes & (agreeing >= F.size("sig_a") * LEAST_AGREEING / 80)
+    # Four and a half deviations below the expected number of agreements.
+    least = F.size("sig_a") * similarity - 4.5 * F.sqrt(F.size("sig_a") * similarity * (1 - similarity))
+    return sizes & (agreeing >= least)
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, keys: DataFrame, similarity: float, weights: str) -> DataFrame:
-    """Pairs (a, b) that reach ``similarity``, by the intersection of whole gram sets. Only texts in a pair are cut."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(keys, "id")
-    texts = docs.join(needed.select("id"), "id", "left_semi")
-    texts = _with_key(texts).join(needed, ["id", "key"], "left_semi").dropDuplicates(["id"])
-    grams = written(gram_sets(texts, weights), "grams")
+def _precise(grams: DataFrame, k: int) -> DataFrame:
+    """(id, sig) of ``k`` coordinates, from gram sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                lists = batch.column("grams")
+                n = lists.value_lengths().to_numpy(zero_copy_only=False)
+                element = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                present, signature = dart_signatures(element, np.repeat(np.arange(len(n)), n), np.ones(len(element)), k)
+                cut = pa.array((signature >> np.uint64(48)).astype(np.uint16).view(np.int16).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(np.repeat(present, k), len(n), cut)], ["id", "sig"])
+
+    return grams.select("id", "grams").mapInArrow(run, "id long, sig array<smallint>")
+
+
+def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that reach ``similarity``, by the intersection of whole gram sets."""
     left, right = (grams.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}")) for s in "ab")
     shared = F.size(F.array_intersect("ga", "gb"))
     total = F.size("ga") + F.size("gb")
     return pairs.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (total - shared)).select("a", "b")
 
 
+def _shareable(open_: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(id, size, shareable): how many shingles of an open text occur in another class at all. Texts that could not reach
+    ``similarity`` with anything, as too many of their shingles are their class's own, are left out."""
+    of = open_.select("id", "class").distinct().join(grams, "id")
+    placed = of.select("id", "class", F.explode("grams").alias("gram"))
+    common = placed.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
+    counted = placed.join(common, "gram").groupBy("id").agg(F.count("*").alias("shareable"))
+    return counted.join(of.select("id", F.size("grams").cast("long").alias("size")), "id").where(F.col("shareable") >= similarity * F.col("size"))
+
+
 def follow(links: DataFrame) -> DataFrame:
     """(id, class) for every id that has a link: the smallest id that links lead to.
 
@@ -197,6 +224,18 @@ def follow(links: DataFrame) -> DataFrame:
         labels = written(labels.join(best, "class", "left").select("id", F.coalesce("to", "class").alias("class")), "labels")
 
 
+def _open(members: DataFrame, found: DataFrame, step: int) -> DataFrame:
+    """Members (bucket, id, class) of buckets with several classes, with the bucket's largest class and, for this step,
+    a member of it. A class counts once per task and bucket before it is shuffled."""
+    labelled = members.select("bucket", "id").join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    labelled = written(labelled, "labelled")
+    any_ = F.min_by("id", F.xxhash64("id", "bucket", F.lit(step)))
+    per_class = labelled.groupBy("bucket", "class").agg(F.count("*").alias("n"), any_.alias("one"))
+    largest = per_class.groupBy("bucket").agg(F.max_by(F.struct("class", "one"), F.struct("n", "class")).alias("m"), F.count("*").alias("kinds"))
+    largest = largest.where("kinds > 1").select("bucket", F.col("m.class").alias("main"), F.col("m.one").alias("centre"))
+    return written(labelled.join(largest, "bucket"), "open")
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
     unknown = F.concat(F.lit("\u0000"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     return docs.withColumn("key", F.sha2(F.coalesce("text", unknown), 256))
@@ -215,23 +254,42 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     placed = brief.select("id", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(placed.join(shared, "bucket"), "members")
+    # Whole shingle sets of the texts that share a bucket; no other text moves.
+    needed = written(members.select("id").distinct().join(keys, "id"), "needed")
+    texts = _with_key(docs.join(needed.select("id"), "id", "left_semi")).join(needed, ["id", "key"], "left_semi").dropDuplicates(["id"])
+    grams = written(gram_sets(texts, weights), "grams")
     # The first centre of a bucket is its smallest id.
     star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_alike(_promising(star, brief, similarity), docs, keys, similarity, weights), "found")
+    links = written(_alike(_promising(star, brief, similarity), grams, similarity), "found")
     found = follow(links)
 
-    # What the centres left open: buckets with members of several classes. The members outside a bucket's largest class
-    # meet those of every other class in it; pairs inside a class are never made.
-    labelled = written(members.drop("centre").join(found, "id", "left").withColumn("class", F.coalesce("class", "id")), "labelled")
-    per_class = labelled.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    largest = per_class.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = written(labelled.join(largest.select("bucket", "main"), "bucket").join(brief.select("id", "sig", "size"), "id"), "open")
-    minor = open_.where("class <> main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", "sig", "size")])
-    others = open_.select("bucket", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", "sig", "size")])
+    # Buckets with members of several classes are open. Their members outside the largest class meet one other member of
+    # that class, a new one in each round; most of what the first centre left open closes in one of the buckets.
+    for step in range(CENTRES):
+        open_ = _open(members, found, step)
+        if open_.isEmpty():
+            break
+        fresh = open_.where("class <> main").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        more = written(_alike(_promising(fresh, brief, similarity), grams, similarity), "found")
+        links = links.unionByName(more)
+        found = follow(links)
+
+    # The rest, exactly: members outside a bucket's largest class meet those of every other class; no pair inside a class.
+    # Texts that share too little with other classes cannot have a link there and are not met.
+    open_ = _open(members, found, CENTRES)
+    for _ in range(PRUNES):  # without the texts left out, others share less
+        able = written(_shareable(open_, grams, similarity), "shareable")
+        open_ = open_.select("bucket", "id", "class", "main").join(able, "id")
+    precise = written(_precise(grams.join(able, "id", "left_semi"), PRECISE), "precise")
+    open_ = written(open_.join(precise, "id").join(brief.select("id", "buckets"), "id"), "open")
+    minor = open_.where("class <> main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", "sig", "size", "shareable", "buckets")])
+    others = open_.select("bucket", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", "sig", "size", "shareable", "buckets")])
     once = (F.col("class_a") < F.col("class_b")) | (F.col("class_b") == F.col("main"))
-    cross = minor.join(others, "bucket").where((F.col("class_a") != F.col("class_b")) & once & _near(similarity))
-    cross = cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    links = links.unionByName(_alike(cross, docs, keys, similarity, weights))
+    enough = F.least("shareable_a", "shareable_b") >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b"))
+    first_shared = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")  # a pair comes from one bucket
+    cross = minor.join(others, "bucket").where((F.col("class_a") != F.col("class_b")) & once & enough & first_shared & _near(similarity))
+    cross = written(cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "pairs")
+    links = links.unionByName(_alike(cross, grams, similarity))
 
     final = follow(links).withColumnRenamed("id", "first").withColumnRenamed("class", "class_id")
     rows_ = signatures.select("id", "key").join(first, "key").join(final, "first", "left")
