@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from catalogspark.functions.text import _col, compact
+from catalogspark.functions.text import _col, compact, fold
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -111,40 +109,23 @@ def search_link(brand: Column | str, reference: Column | str, country: str = "us
                     F.lit(f"&gl={country}&hl=en"))
 
 
-_UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
-
-
-def _normalise(text: str) -> str:
-    pieces = text.split("%")
-    out = [pieces[0]]
-    for piece in pieces[1:]:
-        try:
-            char = chr(int(piece[:2], 16)) if len(piece) >= 2 and piece[:2].isalnum() else ""
-        except ValueError:
-            char = ""
-        if not char:
-            out.append("%" + piece)
-        else:
-            out.append((char if char in _UNRESERVED else "%" + piece[:2].upper()) + piece[2:])
-    return "".join(ch if ch.isascii() else "".join(f"%{b:02X}" for b in ch.encode()) for ch in "".join(out))
-
-
-@F.pandas_udf(T.StringType())
-def _normalise_octets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(_normalise, na_action="ignore")
+# Fixed value: the unreserved characters of the URI standard.
+_UNRESERVED = "[A-Za-z0-9._~-]"
 
 
 def normalise_octets(c: Column | str) -> Column:
-    """Percent-encoding normal form of a path. The only text function that needs Python (Arrow batches).
-
-    Plain ASCII without '%' is already in normal form: guard with ``needs_octets`` and such rows skip Python.
-    """
-    return _normalise_octets(_col(c))
+    """Percent-encoding normal form of a path: unreserved characters plain, other escapes in upper case, everything
+    beyond ASCII escaped. Runs of plain characters are one piece, so most paths have few."""
+    c = _col(c)
+    pieces = F.regexp_extract_all(c, F.lit(r"%[0-9A-Fa-f]{2}|[\x00-\x7F&&[^%]]+|[^\x00-\x7F]+|%"), F.lit(0))
 
+    def normal(piece: Column) -> Column:
+        char = F.char(F.conv(F.substring(piece, 2, 2), 16, 10).cast("int"))
+        escaped = F.regexp_replace(F.hex(F.encode(piece, "UTF-8")), "(..)", "%$1")
+        return (F.when(piece.rlike("^%[0-9A-Fa-f]{2}$"), F.when(piece.rlike("^%[0-7]") & char.rlike(f"^{_UNRESERVED}$"), char).otherwise(F.upper(piece)))
+                .when(piece.rlike(r"[^\x00-\x7F]"), escaped).otherwise(piece))
 
-def needs_octets(c: Column | str) -> Column:
-    return _col(c).rlike(r"%|[^\x00-\x7F]")
+    return F.when(c.rlike(r"%|[^\x00-\x7F]"), F.array_join(F.transform(pieces, normal), "")).otherwise(c)
 
 
 # A reference matches with its separators ignored but not inside a longer word.
@@ -153,8 +134,8 @@ _SEPARATORS = r"[\s._/–-]*"
 
 def reference_pattern(reference: Column | str) -> Column:
     """Regular expression, as a column, for one product reference."""
-    parts = F.regexp_extract_all(_col(reference), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return F.concat(F.lit("(?i)(?<![a-z0-9])"), F.array_join(parts, _SEPARATORS), F.lit("(?![a-z0-9])"))
+    parts = F.regexp_extract_all(fold(reference), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.concat(F.lit("(?<![a-z0-9])"), F.array_join(parts, _SEPARATORS), F.lit("(?![a-z0-9])"))
 
 
 def shape_pattern(reference: Column | str) -> Column:
@@ -172,8 +153,8 @@ def shape_pattern(reference: Column | str) -> Column:
 def mentions(text: Column | str, key: Column, pattern: Column) -> Column:
     """Exact reference evidence from a product's prepared ``key`` and ``pattern``. The cheap containment test spares
     most rows the per-row pattern."""
-    text = _col(text)
-    near = F.contains(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), key)
+    text = fold(text)
+    near = F.contains(F.regexp_replace(text, "[^a-z0-9]", ""), key)
     return F.coalesce(F.when(near, F.rlike(text, pattern)), F.lit(False))
 
 

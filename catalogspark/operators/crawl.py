@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogspark.functions.text import _col
 from catalogspark.functions.urls import (
-    SitePattern, classify_url, host, needs_octets, normalise_octets, path, query, resolve, scheme, url_key, url_reference,
+    SitePattern, classify_url, host, normalise_octets, path, query, resolve, scheme, url_key, url_reference,
 )
 from catalogspark.session import cut_lineage
 from catalogspark.shaping import once
@@ -18,7 +19,6 @@ from catalogspark.shaping import once
 CHALLENGE_MARKERS = ("<title>access denied", "<title>just a moment", "cf-chl-", "<title>attention required",
                      "verify you are human", "<title>robot or human")
 BLOCKING_STATUSES = (401, 403, 429, 451)
-SAMPLE_CHARS = 6000
 
 
 def is_complete_html(c: Column | str) -> Column:
@@ -28,11 +28,11 @@ def is_complete_html(c: Column | str) -> Column:
 
 
 def is_blocked(body: Column | str, status: Column | None = None) -> Column:
-    """Challenge page or refusing status. Challenge markers only count at the head of the document."""
-    head = F.lower(F.substring(_col(body), 1, SAMPLE_CHARS))
+    """Challenge page or refusing status."""
+    text = F.lower(_col(body))
     hit = F.lit(False)
     for marker in CHALLENGE_MARKERS:
-        hit = hit | head.contains(marker)
+        hit = hit | text.contains(marker)
     return hit if status is None else hit | F.coalesce(status.isin(*BLOCKING_STATUSES), F.lit(False))
 
 
@@ -50,12 +50,42 @@ def robots_specificity(pattern: Column | str) -> Column:
 
 
 def select_agent_rules(rules: DataFrame, agent: str) -> DataFrame:
-    """Rules that bind one product token: its own group when the host has one, else the '*' group."""
+    """Rules that bind one product token: its own groups when the host has any, else the '*' groups. An empty value
+    states no rule; it only counts for the choice of the group."""
     mine = rules.where(F.lower("agent").isin(agent.lower(), "*"))
     own = F.bool_or(F.lower("agent") == agent.lower()).alias("__own")
     hosts = mine.groupBy("host").agg(own)
     joined = mine.join(hosts, "host")
-    return joined.where((F.lower("agent") == agent.lower()) == F.col("__own")).drop("__own", "agent")
+    chosen = joined.where((F.lower("agent") == agent.lower()) == F.col("__own")).drop("__own", "agent")
+    return chosen.where(F.trim("pattern") != "")
+
+
+def robots_rules(files: DataFrame, host_col: str, body: str) -> DataFrame:
+    """(host, agent, allow, pattern, delay, signals, sitemap) of robots texts: one row per agent and rule line.
+
+    A group is a run of user-agent lines and all other lines up to the next user-agent line. ``delay`` and
+    ``signals`` are null but on their own lines, ``sitemap`` rows bind no agent. The running group number is taken
+    over the lines of one file. A group without a rule has one row with an empty pattern, so that it can be chosen.
+    """
+    split = files.select(F.col(host_col).alias("host"), F.posexplode(F.split(body, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("at", "raw"))
+    line = F.trim(F.regexp_replace("raw", "#.*", ""))
+    split = split.select("host", "at", line.alias("line")).where(F.col("line").contains(":"))
+    keyed = split.select("host", "at", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+    sitemaps = keyed.where("key = 'sitemap'").select("host", F.col("value").alias("sitemap"))
+    by_line = Window.partitionBy("host").orderBy("at")
+    names = F.col("key") == "user-agent"
+    opens = names & ~F.coalesce(F.lag("key").over(by_line) == "user-agent", F.lit(False))
+    grouped = keyed.where("key <> 'sitemap'").withColumn("group", F.sum(opens.cast("int")).over(by_line))
+    agents = grouped.where(names).select("host", "group", F.lower("value").alias("agent"))
+    known = F.col("key").isin("allow", "disallow", "crawl-delay", "content-signal")
+    rules = grouped.where(known & (F.col("group") > 0)).select(
+        "host", "group", F.when(F.col("key").isin("allow", "disallow"), F.col("key") == "allow").alias("allow"),
+        F.when(F.col("key").isin("allow", "disallow"), F.col("value")).alias("pattern"),
+        F.when(F.col("key") == "crawl-delay", F.greatest(F.col("value").try_cast("double"), F.lit(0.0))).alias("delay"),
+        F.when(F.col("key") == "content-signal", F.col("value")).alias("signals"))
+    bound = agents.join(rules, ["host", "group"], "left").drop("group")
+    bound = bound.withColumn("pattern", F.coalesce("pattern", F.lit(""))).withColumn("allow", F.coalesce("allow", F.lit(False)))
+    return bound.distinct().unionByName(sitemaps.distinct(), allowMissingColumns=True)
 
 
 def robots_decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -65,6 +95,7 @@ def robots_decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     no url is multiplied by its rules. Adaptive execution broadcasts the rules while they are small and splits a
     hot host otherwise. Plain prefixes are tested without a regular expression.
     """
+    rules = rules.withColumn("pattern", normalise_octets("pattern"))
     wild = F.col("pattern").rlike(r"\*|\$$")
     rule = F.struct(
         robots_specificity("pattern").alias("len"), F.col("allow").alias("allow"), F.col("pattern").alias("pattern"),
@@ -72,8 +103,7 @@ def robots_decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     per_host = rules.groupBy("host").agg(F.collect_list(rule).alias("__rules"))
     raw = F.concat(F.when(path("url") == "", "/").otherwise(path("url")), query("url"))
-    keyed = urls.withColumns({"host": host("url"), "__raw": raw})
-    keyed = keyed.withColumn("__path", F.when(needs_octets("__raw"), normalise_octets("__raw")).otherwise(F.col("__raw")))
+    keyed = urls.withColumns({"host": host("url"), "__path": normalise_octets(raw)})
     joined = keyed.join(per_host, "host", "left")
     hits = F.filter("__rules", lambda r: F.when(r["regex"].isNull(), F.startswith(F.col("__path"), r["pattern"]))
                     .otherwise(F.rlike(F.col("__path"), r["regex"])))
@@ -131,21 +161,23 @@ def work_order(queue: DataFrame, kind: str = "kind", url: str = "url") -> DataFr
     return queue.withColumn("kind_rank", rank)
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def expand_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, origin, round) reachable from the seeds over ``links(src, dst)``.
 
     Breadth first: each round joins only the newest nodes, keeps targets not seen before and cuts the lineage, so
-    the plan stays constant and a lost executor costs one round. The driver sees one boolean per round.
+    the plan stays constant and a lost executor costs one round. The driver sees one boolean per round. It ends when
+    nothing new is reached; ``max_depth`` is the caller's own limit, not one of the operator.
     """
     edges = cut_lineage(links.select("src", "dst").distinct())
     frontier = cut_lineage(seeds.select("node").distinct().select("node", F.lit("seed").alias("origin"),
                                                                   F.lit(0).alias("round")))
     seen = frontier
-    for step in range(1, max_rounds + 1):
+    for step in count(1):
+        if max_depth is not None and step > max_depth:
+            return seen
         reached = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
         fresh = reached.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = cut_lineage(fresh.select("node", F.lit("link").alias("origin"), F.lit(step).alias("round")))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"the frontier did not close in {max_rounds} rounds")
+        seen = cut_lineage(seen.unionByName(frontier))

@@ -19,7 +19,6 @@ from catalogspark.functions.text import clean, label_key, norm_ref
 from catalogspark.functions.urls import url_key
 from catalogspark.operators.merge import first_by_priority
 from catalogspark.schema import COLUMNS, FACT_SCHEMA
-from catalogspark.shaping import spread
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HEADINGS = frozenset(("h2", "h3", "h4", "h5", "label"))
@@ -29,7 +28,6 @@ _SIBLINGS = frozenset(("p", "span", "div"))
 _IMPLIED_END = {"p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"),
                 "th": ("td", "th"), "li": ("li",)}
 _CONTAINERS = frozenset("html body main article section div ul ol dl table form".split())
-MAX_LABEL = 120
 
 
 class _FactParser(HTMLParser):
@@ -46,7 +44,7 @@ class _FactParser(HTMLParser):
 
     def _add(self, kind: str, label: str, value: str, locator: str) -> None:
         label, value = " ".join(label.split()), " ".join(value.split())
-        if value and len(label) < MAX_LABEL:
+        if value:
             self.facts.append((kind, self._section, label, value, locator))
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
@@ -160,7 +158,7 @@ def extract_facts(pages: DataFrame, id_col: str, body: str) -> DataFrame:
             rows = [fact for key, html in zip(batch["k"], batch["b"]) for fact in page_facts(key, html)]
             yield pd.DataFrame(rows, columns=names)
 
-    rows = spread(pages.select(F.col(id_col).cast("string").alias("k"), F.col(body).alias("b")))
+    rows = pages.select(F.col(id_col).cast("string").alias("k"), F.col(body).alias("b"))
     return rows.mapInPandas(run, FACT_SCHEMA)
 
 

@@ -12,8 +12,8 @@ from catalogspark.functions.text import compact, fold
 from catalogspark.operators.facets import facet_and
 
 PAGE_SIZE = 24
-MAX_HYDRATED = 6
-RELAX_TRIED, RELAX_KEPT = 10, 3
+RELAX_KEPT = 3
+DEFAULT_CURRENCY = "USD"
 # Inclusive and strict bounds.
 BOUND_OPS = {
     "min": lambda c, v: c >= v, "max": lambda c, v: c <= v, "gt": lambda c, v: c > v, "lt": lambda c, v: c < v,
@@ -30,7 +30,8 @@ class SearchSpec:
     bounds: Mapping[tuple[str, str], float] = field(default_factory=dict)
     q: str = ""
     source: str = "official_retail"
-    currency: str = "USD"
+    #: None: not stated. Searches then use ``DEFAULT_CURRENCY``.
+    currency: str | None = None
     sort: str = "relevance"
     page: int = 1
 
@@ -47,12 +48,12 @@ def check_spec(spec: SearchSpec) -> list[str]:
 
 
 def effective_spec(explicit: SearchSpec, parsed: SearchSpec) -> SearchSpec:
-    """Explicit filters override those read from the query text."""
+    """Explicit filters override those read from the query text, but a currency that the text names holds."""
     return replace(
         parsed,
         facets={**parsed.facets, **explicit.facets},
         bounds={**parsed.bounds, **explicit.bounds},
-        source=explicit.source, sort=explicit.sort, page=explicit.page, all_of=explicit.all_of,
+        currency=parsed.currency or explicit.currency, source=explicit.source, sort=explicit.sort, page=explicit.page, all_of=explicit.all_of,
     )
 
 
@@ -66,18 +67,16 @@ def numeric_predicate(bounds: Mapping[tuple[str, str], float], columns: Mapping[
     return every
 
 
-def with_price(products: DataFrame, prices: DataFrame, source: str, currency: str) -> DataFrame:
+def with_price(products: DataFrame, prices: DataFrame, source: str, currency: str | None) -> DataFrame:
     """Left join of the one price fact in the chosen source and currency; the filter is applied before the join."""
-    fact = prices.where((F.col("source") == source) & (F.col("currency") == currency))
+    fact = prices.where((F.col("source") == source) & (F.col("currency") == (currency or DEFAULT_CURRENCY)))
     return products.join(fact.select("id", F.col("amount").alias("price")), "id", "left")
 
 
 def reference_predicate(query: str, key: Column) -> Column:
     """Exact or prefix reference, only when the query holds a digit; a blank key is null and cannot match."""
-    wanted = "".join(ch for ch in query.lower() if ch.isascii() and ch.isalnum())
-    if not any(ch.isdigit() for ch in wanted):
-        return F.lit(False)
-    return key.startswith(wanted)
+    wanted = compact(F.lit(query))
+    return F.coalesce(wanted.rlike("[0-9]") & key.startswith(wanted), F.lit(False))
 
 
 def rank_tier(query: str, reference_key: Column, model: Column, collection: Column) -> Column:
@@ -135,7 +134,9 @@ def matches(products: DataFrame, facets: DataFrame, prices: DataFrame, spec: Sea
     priced = {k: v for k, v in spec.bounds.items() if k[0] == "price"}
     if priced:
         rows = rows.where(numeric_predicate(priced))
-    if spec.q and text_scores is not None:
+    if spec.q and text_scores is None:
+        raise ValueError("a text query needs text_scores")
+    if spec.q:
         rows = rows.join(text_scores, "id", "left")
         rows = rows.where(F.col("score").isNotNull() | reference_predicate(spec.q, F.col("reference_key")))
         tier = rank_tier(spec.q, F.col("reference_key"), F.col("model"), F.col("collection"))
@@ -158,20 +159,14 @@ def with_total(found: DataFrame, page: DataFrame) -> DataFrame:
 
 
 def by_ids(products: DataFrame, ids: Sequence) -> DataFrame:
-    """Full records of one to six distinct ids; the filter reaches the scan."""
+    """Full records of some ids; the filter reaches the scan."""
     wanted = list(dict.fromkeys(ids))
-    if not 1 <= len(wanted) <= MAX_HYDRATED:
-        raise ValueError("Supply one to six ids")
+    if not wanted:
+        raise ValueError("Supply an id")
     return products.where(F.col("id").isin(*wanted))
 
 
-def candidate_limit(n: int | None) -> int:
-    """Number of comparison candidates: at least 12, at most 96."""
-    return min(96, max(12, n or 12))
-
-
-def relaxations(rows: DataFrame, constraints: Mapping[str, Column], tried: int = RELAX_TRIED,
-                kept: int = RELAX_KEPT) -> DataFrame:
+def relaxations(rows: DataFrame, constraints: Mapping[str, Column], kept: int = RELAX_KEPT) -> DataFrame:
     """(key, ord, n): how many rows would match with one constraint dropped, for the first few that help.
 
     Empty when the full spec already matches something. All counts come from one pass of conditional
@@ -190,21 +185,22 @@ def relaxations(rows: DataFrame, constraints: Mapping[str, Column], tried: int =
 
     counts = tested.agg(
         F.count_if(others(-1)).alias("__all"),
-        *[F.count_if(others(i)).alias(f"__n{i}") for i in range(min(tried, len(names)))],
+        *[F.count_if(others(i)).alias(f"__n{i}") for i in range(len(names))],
     )
     found = F.filter(
         F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(names[i]).alias("key"), F.col(f"__n{i}").alias("n"))
-                  for i in range(min(tried, len(names)))]),
+                  for i in range(len(names))]),
         lambda x: x["n"] > 0,
     )
     return counts.where(F.col("__all") == 0).select(F.inline(F.slice(found, 1, kept)))
 
 
 def suggest(brands: DataFrame, found: DataFrame, query: str, aliases: Mapping[str, str]) -> DataFrame:
-    """(group, rank, label): 3 brands by prefix or alias, 3 collections by matches, 5 references."""
-    prefix = "".join(query.split()).lower()
-    alias = aliases.get(query.strip().lower())
-    brand_hit = fold(F.col("brand")).startswith(prefix)
+    """(group, rank, label): 3 brands by prefix or alias, 3 collections by matches, 5 references, and the query itself
+    with, if a brand was found, one search within it."""
+    query = " ".join(query.split())
+    alias = aliases.get(query.lower())
+    brand_hit = fold(F.col("brand")).startswith(fold(F.lit(query)))
     if alias:
         brand_hit = brand_hit | (F.col("brand") == alias)
 
@@ -217,4 +213,7 @@ def suggest(brands: DataFrame, found: DataFrame, query: str, aliases: Mapping[st
     collections = top(grouped, "Collections", F.concat_ws(" ", "brand", "collection"),
                       [F.col("n").desc(), F.col("collection").asc(), F.col("brand").asc()], 3)
     references = top(found, "References", F.concat_ws(" ", "brand", "reference"), sort_order("relevance"), 5)
-    return named.unionByName(collections).unionByName(references)
+    whole = brands.sparkSession.range(1).select(F.lit("Suggested searches").alias("grp"), F.lit(1).alias("rank"), F.lit(query).alias("label"))
+    narrower = named.where("rank = 1").select(F.lit("Suggested searches").alias("grp"), F.lit(2).alias("rank"),
+                                              F.concat("label", F.lit(" watches under 40mm")).alias("label"))
+    return named.unionByName(collections).unionByName(references).unionByName(whole).unionByName(narrower)

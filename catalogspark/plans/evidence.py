@@ -9,7 +9,7 @@ from catalogspark.functions.urls import has_other_reference, has_reference
 from catalogspark.operators import evidence as ev
 from catalogspark.operators.annotate import annotate_queries
 from catalogspark.plans.registry import query
-from catalogspark.shaping import once, spread
+from catalogspark.shaping import once
 
 # Wording of a derived hit by line number; {0} is the grouped amount.
 _WORDING = {1: "price USD {0}. Available to order.", 2: "Pre-owned. {0} EUR", 3: "USD {0} - 99,000", 4: "Save USD {0} today",
@@ -38,7 +38,7 @@ def _hits(t):
     # Position is unique inside a product so that "last hit wins" is well defined.
     position = F.col("l_orderkey") * 1000 + F.col("l_suppkey") * 10 + line
     scheme = F.when(F.col("l_suppkey") % 10 == 2, "http").otherwise("https")
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.col("l_partkey").alias("id"), title.alias("title"), F.concat(named, F.lit(" "), text).alias("snippet"),
         F.concat(scheme, F.lit("://shop"), "l_suppkey", F.lit(".example/w/"), "l_partkey").alias("link"),
         F.when(F.col("l_returnflag") != "N", F.date_format("l_shipdate", "MMM d, yyyy")).alias("date"), position.alias("position"))
@@ -52,7 +52,7 @@ def _(t):
     for n, wording in _WORDING.items():
         before, after = wording.split("{0}")
         text = F.when(line == n, F.concat(F.lit(before), amount, F.lit(after))).otherwise(text)
-    rows = once(spread(t.lineitem), p=sole_price(text))
+    rows = once(t.lineitem, p=sole_price(text))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.amount", "p.currency")
 
 
@@ -68,7 +68,7 @@ def _(t):
     named = F.when(F.col("l_suppkey") % 10 == 0, F.lit("IW999999-A")).otherwise(
         F.concat(F.lit("iw"), F.format_string("%06d", "l_partkey"), F.lit(" a")))
     text = F.concat(F.lit("Offer: "), named, F.lit(", USD 5,000"))
-    return spread(t.lineitem).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", has_reference(text, reference).alias("exact"),
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", has_reference(text, reference).alias("exact"),
                              has_other_reference(text, reference).alias("other"))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.operators.facets import build_facets
-from catalogspark.shaping import spread
 from catalogspark.sources.index import with_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +33,11 @@ class Tables:
     @cached_property
     def texts(self) -> DataFrame:
         """Documents for pattern-heavy work, over all cores."""
-        return spread(self.documents)
+        return self.documents
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return spread(self.pages)
+        return self.pages
 
     @cached_property
     def catalog(self) -> DataFrame:

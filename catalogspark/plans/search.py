@@ -207,11 +207,11 @@ def _(t):
     return se.by_ids(t.catalog.drop("model_key"), [3, 1, 3, 17])
 
 
-@query("compare_candidates", f"""WITH {CATALOG} SELECT id, diameter FROM catalog WHERE diameter <= 30 ORDER BY id LIMIT 96""")
+@query("compare_candidates", f"""WITH {CATALOG} SELECT id, diameter FROM catalog WHERE diameter <= 30 ORDER BY id LIMIT 500""")
 def _(t):
     rules = [rl.Rule("diameter", "lte", "30")]
     rows = rl.match_rules(t.catalog, rules, _fields()).select("id", "diameter")
-    return rows.orderBy("id").limit(se.candidate_limit(500))
+    return rows.orderBy("id").limit(500)
 
 
 @query("reversed_ranges", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'range minimum exceeds maximum' AS error
@@ -229,7 +229,9 @@ def _(t):
  UNION ALL SELECT 'Collections', rank, label FROM (SELECT row_number() OVER (ORDER BY n DESC, collection, brand) AS rank,
   brand || ' ' || collection AS label FROM cl) WHERE rank <= 3
  UNION ALL SELECT 'References', rank, label FROM (SELECT row_number() OVER (ORDER BY id) AS rank,
-  concat_ws(' ', brand, reference) AS label FROM found) WHERE rank <= 5""")
+  concat_ws(' ', brand, reference) AS label FROM found) WHERE rank <= 5
+ UNION ALL SELECT 'Suggested searches', 1, 'Brand#1'
+ UNION ALL SELECT 'Suggested searches', 2, min(brand) || ' watches under 40mm' FROM b HAVING count(*) > 0""")
 def _(t):
     found = t.catalog.where(F.lower("brand").startswith("brand#1")).withColumns(
         {"tier": F.lit(3), "score": F.lit(None).cast("double")})

@@ -119,7 +119,7 @@ def _(t):
 
 
 _RULES = [("*", False, "/fr/"), ("*", True, "/fr/*.html$"), ("catalogbot", False, "/*?page="), ("catalogbot", True, "/en/"),
-          ("catalogbot", False, "/en/9"), ("*", False, "/de/")]
+          ("catalogbot", False, "/en/9"), ("*", False, "/de/"), ("catalogbot", False, ""), ("*", True, " "), ("catalogbot", False, "/caf%c3%a9/")]
 
 
 def _rules(t):
@@ -138,6 +138,34 @@ def _(t):
     return cr.robots_decide(t.pages.select("page_id", "url"), rules).select("page_id", "allowed")
 
 
+_ROBOTS = """User-agent: *
+Disallow: /fr/  # not in French
+Allow: /fr/*.html$
+Crawl-delay: 2
+"""
+_ROBOTS_OWN = """
+User-agent: CatalogBot
+User-agent: OtherBot
+Disallow: /*?page=
+Disallow:
+Content-Signal: ai-train=no
+no directive
+Sitemap: https://maps.example/s.xml
+"""
+
+
+@query("robots_rules", f"""WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages),
+ r(agent, allow, pattern, delay, signals, sitemap, own) AS (VALUES ('*', false, '/fr/', NULL, NULL, NULL, false), ('*', true, '/fr/*.html$', NULL, NULL, NULL, false),
+  ('*', false, '', 2.0::DOUBLE, NULL, NULL, false), ('catalogbot', false, '/*?page=', NULL, NULL, NULL, true), ('otherbot', false, '/*?page=', NULL, NULL, NULL, true),
+  ('catalogbot', false, '', NULL, NULL, NULL, true), ('otherbot', false, '', NULL, NULL, NULL, true), ('catalogbot', false, '', NULL, 'ai-train=no', NULL, true),
+  ('otherbot', false, '', NULL, 'ai-train=no', NULL, true), (NULL, NULL, NULL, NULL, NULL, 'https://maps.example/s.xml', true))
+ SELECT host, agent, allow, pattern, delay, signals, sitemap FROM h JOIN r ON NOT own OR host NOT LIKE '%.org'""")
+def _(t):
+    hosts = t.pages.select(ur.host("url").alias("host")).distinct()
+    own = F.when(F.col("host").endswith(".org"), "").otherwise(_ROBOTS_OWN)
+    return cr.robots_rules(hosts.withColumn("body", F.concat(F.lit(_ROBOTS), own)), "host", "body")
+
+
 @query("grant_decide", f"""WITH u AS (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages)
  SELECT page_id, h NOT LIKE '%.net' AND (starts_with(p, '/en/') OR p = '/en' OR (h LIKE '%.com' AND starts_with(p, '/de/'))) AS granted FROM u""")
 def _(t):

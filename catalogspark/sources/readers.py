@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from catalogspark.schema import COLUMNS, FLAT_SCHEMA, RECORD_SCHEMA
 
 CORRUPT = "_corrupt_record"
-MAX_SITEMAP_BYTES = 16 * 1024 * 1024
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
@@ -21,7 +20,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_S
 
 
 def read_csv_strict(spark: SparkSession, path: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """CSV whose header must be exactly ``columns`` in order, in every file; blanks are read as null."""
+    """CSV whose header must be exactly ``columns`` in order; blanks are read as null. One header is compared here; the
+    others are checked by the scan itself (``enforceSchema=False``), which fails on a file with other names."""
     header = spark.read.option("header", True).csv(path).columns
     if header != list(columns):
         raise ValueError(f"unexpected CSV header in {path}")
@@ -48,21 +48,24 @@ def read_snapshots(spark: SparkSession, folder: str, manifest: DataFrame) -> tup
     return verified, joined.where(~intact).select("url", "sha256", reason.alias("reason"))
 
 
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """(file, kind, loc) of sitemap indexes and url sets, plain or gzip.
+def read_sitemaps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(found, refused): (file, kind, loc) of sitemap indexes and url sets, plain or gzip, and (file, reason) of the rest.
 
     Only page locations count: image and video extensions use prefixed elements and are not matched. Documents
-    with a DOCTYPE are refused, so no external entity is ever resolved; oversized files are refused as well.
+    with a DOCTYPE are refused, so no external entity is ever resolved; so are documents that are no sitemap.
     """
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    sound = files.where(~F.upper("value").contains("<!DOCTYPE") & (F.length("value") <= MAX_SITEMAP_BYTES))
+    reason = (F.when(F.upper("value").contains("<!DOCTYPE"), "has a DOCTYPE")
+              .when(~F.col("value").rlike(r"<(?:sitemapindex|urlset)[\s>]"), "not a sitemap"))
+    files = files.withColumn("reason", reason)
+    sound = files.where("reason is null")
     kinds = []
     for kind, root, parent in (("index", "sitemapindex", "sitemap"), ("urlset", "urlset", "url")):
         locs = F.xpath("value", F.lit(f"/{root}/{parent}/loc/text()"))
         of_kind = sound.where(F.col("value").rlike(rf"<{root}[\s>]"))
         kinds.append(of_kind.select("file", F.lit(kind).alias("kind"), F.explode(locs).alias("loc")))
     found = kinds[0].unionByName(kinds[1])
-    return found.withColumn("loc", F.trim("loc")).where(F.col("loc") != "")
+    return found.withColumn("loc", F.trim("loc")).where(F.col("loc") != ""), files.where("reason is not null").select("file", "reason")
 
 
 def read_state(spark: SparkSession, folder: str, table: str) -> DataFrame:

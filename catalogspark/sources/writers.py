@@ -50,9 +50,9 @@ def export_records(df: DataFrame, folder: str, rules: Mapping[str, Column], colu
 
 
 def compare_table(df: DataFrame, heading: Column, fields: Mapping[str, Column], products: Sequence[str]) -> DataFrame:
-    """One row per field, one column per product; ``products`` are the one to six headings to compare."""
-    if not 1 <= len(products) <= 6:
-        raise ValueError("compare one to six products")
+    """One row per field, one column per product; ``products`` are the headings to compare."""
+    if not products:
+        raise ValueError("name a product to compare")
     wide = df.select(heading.alias("__product"), *[c.cast("string").alias(n) for n, c in fields.items()])
     long = wide.unpivot(["__product"], list(fields), "field", "value")
     return long.groupBy("field").pivot("__product", list(products)).agg(F.first("value", ignorenulls=True))

@@ -31,6 +31,12 @@ def test_fact_kinds(spark):
     assert found(spark, html, "link") == [("href", "/a")] and found(spark, html, "image") == [("A", "i.png")]
 
 
+def test_long_labels_are_kept(spark):
+    page = f'<html><body><img alt="{"a" * 200}" src="/i.png"></body></html>'
+    facts = ex.extract_facts(spark.createDataFrame([("p", page)], "id string, html string"), "id", "html").collect()
+    assert [(f["kind"], len(f["label"]), f["value"]) for f in facts] == [("image", 200, "/i.png")]
+
+
 def test_unclosed_and_broken_markup(spark):
     html = "<p>" * 3000 + "<h1>ok</h1><script type='application/json'>{bad</script><p></div></x>"
     assert found(spark, html, "h1") == [("h1", "ok")]

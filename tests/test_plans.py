@@ -43,7 +43,7 @@ def test_top_sources_trims_before_the_shuffle(spark):
 def test_no_cross_products_and_no_python(spark, name):
     text = run(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if name not in ("robots_decide", "octet_paths", "page_facts", "page_fact_counts"):
+    if name not in ("page_facts", "page_fact_counts"):
         assert "Python" not in text and "InPandas" not in text
 
 

@@ -66,8 +66,18 @@ def test_sitemaps(spark, tmp_path):
     (folder / "a.xml").write_text(f"<?xml version='1.0'?><urlset {ns}><url><loc> https://x/1 </loc><image:image><image:loc>https://x/i.png</image:loc></image:image></url></urlset>")
     (folder / "b.xml.gz").write_bytes(gzip.compress(f"<sitemapindex {ns}><sitemap><loc>https://x/s.xml</loc></sitemap></sitemapindex>".encode()))
     (folder / "c.xml").write_text('<!DOCTYPE x [<!ENTITY e SYSTEM "file:///etc/passwd">]><urlset><url><loc>&e;</loc></url></urlset>')
-    got = sorted((r["kind"], r["loc"]) for r in readers.read_sitemaps(spark, str(folder)).collect())
-    assert got == [("index", "https://x/s.xml"), ("urlset", "https://x/1")]
+    (folder / "d.xml").write_text("<html></html>")
+    (folder / "e.xml").write_text("<urlset>" + "<!-- " + "x" * (17 << 20) + " --><url><loc>https://x/big</loc></url></urlset>")
+    found, refused = readers.read_sitemaps(spark, str(folder))
+    assert sorted((r["kind"], r["loc"]) for r in found.collect()) == [("index", "https://x/s.xml"), ("urlset", "https://x/1"), ("urlset", "https://x/big")]
+    assert sorted((r["file"][-5:], r["reason"]) for r in refused.collect()) == [("c.xml", "has a DOCTYPE"), ("d.xml", "not a sitemap")]
+
+
+def test_every_header_is_checked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("brand,note\nx,1\n")
+    (tmp_path / "b.csv").write_text("note,brand\n1,x\n")
+    with pytest.raises(Exception):
+        readers.read_csv_strict(spark, str(tmp_path), ["brand", "note"]).collect()
 
 
 def test_export_splits_and_counts(spark, tmp_path):
