@@ -56,10 +56,10 @@ def _(t):
     return ix.bootstrap(t.catalog, ["Brand#3", "Brand#1", "Brand#2"], image="reference").select("brand", "id")
 
 
-@query("eligible_identities", f"""WITH {CATALOG}, {PRICES} SELECT id, brand, reference, model FROM catalog WHERE length(reference) >= 3
- AND id NOT IN (SELECT id FROM prices WHERE source = 'recorded_catalog' AND currency = 'USD' AND amount < 9000)""")
+@query("eligible_identities", f"""WITH {CATALOG} SELECT id, brand, reference, model FROM catalog WHERE length(reference) >= 3
+ AND id NOT IN (SELECT s_suppkey FROM supplier)""")
 def _(t):
-    priced = t.prices.where((F.col("source") == "recorded_catalog") & (F.col("currency") == "USD") & (F.col("amount") < 9000))
+    priced = t.supplier.select(F.col("s_suppkey").alias("id"))
     return ev.eligible_identities(t.catalog, priced).select("id", "brand", "reference", "model")
 
 

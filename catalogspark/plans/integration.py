@@ -25,7 +25,7 @@ def _current(t):
 
 
 def _captures(t):
-    bought = t.lineitem.where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    bought = t.orders.select(F.col("o_custkey").alias("p_partkey"))
     seen = t.part.join(bought, "p_partkey", "left_semi").where(F.col("p_brand").isin(*_TARGETS)).select(
         F.concat(F.lit("new-"), "p_partkey").alias("id"), F.col("p_brand").alias("brand"),
         F.concat(F.lit("r"), F.format_string("%06d", "p_partkey"), F.lit(" a")).alias("reference"),
@@ -44,7 +44,7 @@ def _merge(t, current):
 _MERGED = """current AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS brand, printf('R%06d/A', p_partkey) AS reference, p_name AS model,
   p_retailprice AS price, 'archive' AS status FROM part),
  captures AS (SELECT 'new-' || p_partkey AS id, p_brand AS brand, printf('r%06d a', p_partkey) AS reference, upper(p_name) AS model, p_retailprice + 100 AS price
-  FROM part WHERE p_brand IN ('Brand#1','Brand#2') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)
+  FROM part WHERE p_brand IN ('Brand#1','Brand#2') AND p_partkey IN (SELECT o_custkey FROM orders)
   UNION ALL SELECT 'new-s' || s_suppkey, 'Brand#1', 'S' || s_suppkey, s_name, s_acctbal FROM supplier),
  o AS (SELECT *, brand || '|' || regexp_replace(upper(reference), '[^A-Z0-9]', '', 'g') AS k FROM current WHERE brand IN ('Brand#1','Brand#2')),
  n AS (SELECT *, brand || '|' || regexp_replace(upper(reference), '[^A-Z0-9]', '', 'g') AS k FROM captures),
@@ -100,15 +100,15 @@ def _(t):
     return mg.replace_dataset(catalog, imported).select("id", "dataset", "price")
 
 
-@query("inventory_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+@query("inventory_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT o_custkey FROM orders)")
 def _(t):
-    inventory = t.part.where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    inventory = t.orders.select(F.col("o_custkey").alias("l_partkey"))
     return rc.in_inventory(t.lineitem, inventory, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("remaining_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+@query("remaining_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def _(t):
-    done = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
+    done = t.orders.select(F.col("o_custkey").alias("p_partkey"))
     return rc.remaining(t.part.select("p_partkey"), done, "p_partkey")
 
 
@@ -140,10 +140,10 @@ def _(t):
 
 
 @query("proof_join", """SELECT p.p_partkey AS id, CASE WHEN p_size > 10 THEN 'Unverified image' ELSE 'Unexplained missing image' END AS violation FROM part p
- WHERE (p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)) OR (p_size <= 10 AND p_type <> 'SMALL')""")
+ WHERE (p_size > 10 AND p_partkey NOT IN (SELECT o_custkey FROM orders)) OR (p_size <= 10 AND p_type <> 'SMALL')""")
 def _(t):
-    url = F.concat(F.lit("https://img.example/"), F.col("l_partkey"))
-    proofs = t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select(url.alias("url"), F.lit("working").alias("proof_status")).distinct()
+    url = F.concat(F.lit("https://img.example/"), F.col("o_custkey"))
+    proofs = t.orders.select(url.alias("url"), F.lit("working").alias("proof_status")).distinct()
     records = t.part.select(
         F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 10, F.concat(F.lit("https://img.example/"), "p_partkey")).alias("image_url"),
         F.when(F.col("p_type") == "SMALL", "not_published_by_source").alias("image_status"))
@@ -175,11 +175,11 @@ def _(t):
     return mg.link_targets(t.part, "p_partkey", {"page": F.concat(F.lit("https://shop.example/"), "p_type"), "image": image})
 
 
-@query("frontier", """WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_discount = 0.1 AND l_quantity >= 45),
+@query("frontier", """WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
  reach AS (SELECT max(p_partkey) AS node FROM part UNION SELECT 0 UNION SELECT l.dst FROM reach r JOIN links l ON l.src = r.node)
  SELECT node, CASE WHEN node = 0 OR node = (SELECT max(p_partkey) FROM part) THEN 'seed' ELSE 'link' END AS origin FROM reach""")
 def _(t):
-    links = t.lineitem.where("l_discount = 0.1 and l_quantity >= 45").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    links = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     seeds = t.part.agg(F.max("p_partkey").alias("hi"), F.min("p_partkey").alias("lo")).select(F.explode(F.array("hi", "lo")).alias("node"))
     return cr.expand_frontier(seeds, links).select("node", "origin")
 
@@ -192,24 +192,24 @@ def _(t):
                            t.part.select(F.concat(F.lit("u"), "p_partkey").alias("url")))
 
 
-@query("union_distinct", """SELECT k, arg_min(src, src) AS src FROM (SELECT p_partkey AS k, 'catalog' AS src FROM part WHERE p_size > 30 UNION ALL
- SELECT l_partkey, 'offers' FROM lineitem WHERE l_quantity > 40) GROUP BY 1""")
+@query("union_distinct", """SELECT k, arg_min(src, src) AS src FROM (SELECT p_partkey AS k, 'catalog' AS src FROM part UNION ALL
+ SELECT o_custkey, 'offers' FROM orders) GROUP BY 1""")
 def _(t):
-    a = t.part.where("p_size > 30").select(F.col("p_partkey").alias("k"), F.lit("catalog").alias("src"), F.col("p_partkey").alias("ord"))
-    b = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("k"), F.lit("offers").alias("src"), F.col("l_orderkey").alias("ord"))
+    a = t.part.select(F.col("p_partkey").alias("k"), F.lit("catalog").alias("src"), F.col("p_partkey").alias("ord"))
+    b = t.orders.select(F.col("o_custkey").alias("k"), F.lit("offers").alias("src"), F.col("o_orderkey").alias("ord"))
     return mg.union_distinct(a, b, "k", "ord").select("k", "src")
 
 
-@query("set_equality", """SELECT (SELECT count(*) FROM (SELECT p_partkey FROM part EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS only_left,
- (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 EXCEPT ALL SELECT p_partkey FROM part)) AS only_right""")
+@query("set_equality", """SELECT (SELECT count(*) FROM (SELECT p_partkey FROM part EXCEPT ALL SELECT o_custkey FROM orders)) AS only_left,
+ (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT p_partkey FROM part)) AS only_right""")
 def _(t):
     a = t.part.select(F.col("p_partkey").alias("k"))
-    return rc.set_equality(a, t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("k")))
+    return rc.set_equality(a, t.orders.select(F.col("o_custkey").alias("k")))
 
 
-@query("intersect_keys", "SELECT p_partkey AS k FROM part INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
+@query("intersect_keys", "SELECT p_partkey AS k FROM part INTERSECT SELECT o_custkey FROM orders")
 def _(t):
-    return t.part.select(F.col("p_partkey").alias("k")).intersect(t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("k")))
+    return t.part.select(F.col("p_partkey").alias("k")).intersect(t.orders.select(F.col("o_custkey").alias("k")))
 
 
 @query("as_of_active", """SELECT o_orderkey AS id, o_orderdate <= TIMESTAMP '1999-06-01' AND (CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 400 DAY END IS NULL
