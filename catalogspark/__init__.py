@@ -1,7 +1,5 @@
 """Catalog data platform on Spark: extraction, integration, faceted search and price evidence."""
 
-
-
 import sys
 
 from pyspark import cloudpickle

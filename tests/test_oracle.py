@@ -4,6 +4,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from catalogspark.plans.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,10 +14,10 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
-    sql = entry.oracle_sql().get(name)
+    df = QUERIES[name](spark, FOLDER)
+    sql = ORACLE.get(name)
     if sql is None:
         assert df.columns and df.collect() is not None
     else:

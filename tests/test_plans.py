@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  registers the queries
 from catalogspark.operators import merge, reconcile, search
-from catalogspark.plans.registry import Tables
+from catalogspark.plans.registry import QUERIES, Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def plan(df):
 
 
 def run(spark, name):
-    return plan(entry.queries()[name](spark, FOLDER))
+    return plan(QUERIES[name](spark, FOLDER))
 
 
 def test_facets_prune_and_pre_aggregate(spark):
@@ -39,7 +39,7 @@ def test_top_sources_trims_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_products_and_no_python(spark, name):
     text = run(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
