@@ -94,6 +94,29 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return ranked.where(F.col(out) <= n)
 
 
+def nth_border(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, out: str) -> DataFrame:
+    """(keys, ``out``): position (struct of ``order``) of the n-th row of every group that has more rows than n. Each task
+    ships at most n + 1 rows of a group, so a group's size does not matter."""
+    first = top_per_key(df.select(*keys, *order), keys, [F.col(o).asc() for o in order], n + 1, "__nth")
+    cut = F.max_by(_position(order), F.when(F.col("__nth") <= n, F.col("__nth")))
+    return first.groupBy(*keys).agg(cut.alias(out), F.count("*").alias("__n")).where(F.col("__n") > n).drop("__n")
+
+
+def split_chunks(df: DataFrame, keys: Sequence[str], position: Column, chunk: Column, rows: int = 1_000_000,
+                 parts: int = 1000, out: str = "__part") -> DataFrame:
+    """Add ``out``, a finer chunk for the ordered operators: (chunk, part). Chunks of a key beyond ``rows`` rows are cut at
+    the quantiles of the numeric ``position`` (mergeable sketches, one row per chunk), so a chunk's part holds about
+    one ``parts``-th of its rows; rows at one and the same position stay together."""
+    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    keyed = df.withColumns({"__at": position, "__c": chunk})
+    group = F.struct(*keys, "__c").alias("__g")
+    large = keyed.groupBy(group).agg(F.count("*").alias("__n"), F.percentile_approx("__at", cuts, 10 * parts).alias("__cuts"))
+    large = large.where(F.col("__n") > rows).select("__g", "__cuts")
+    joined = keyed.withColumn("__g", F.struct(*keys, "__c")).join(large, "__g", "left")
+    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__at"))), F.lit(0))
+    return joined.select(*df.columns, F.struct(F.col("__c").alias("chunk"), part.alias("part")).alias(out))
+
+
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column) -> DataFrame:
     """Exact element at index n // 2 of the sorted values, and the maximum, per key.
 

@@ -136,7 +136,7 @@ def pacing_violations(events: DataFrame, host: str, order: Sequence[str], micros
     """Requests that followed the previous one to the same host sooner than the host's delay allows."""
     linked = chunked_lag(events, [host], order, chunk, {"__before": micros})
     gap = F.col(micros) - F.col("__before")
-    return linked.withColumn("gap_us", gap).where(gap < min_delay_s * 1_000_000).drop("__before")
+    return linked.withColumn("gap_us", gap).where(gap < min_delay_s.cast("long") * 1_000_000).drop("__before")
 
 
 def retry_runs(events: DataFrame, key: str, order: Sequence[str], transient: Column, chunk: Column,

@@ -5,41 +5,43 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.operators import reconcile as rc
+from catalogspark.operators.ordered import split_chunks
 from catalogspark.plans.registry import LOG, query
 from catalogspark.streaming import log as lg
 
 ORDER = ["ts", "event_id"]
 
 
-def _day():
-    """Chunk of a key's history: one day."""
-    return F.to_date("ts")
+def _parts(log, key="key"):
+    """The log with ``part``: chunks of a key's history, one day or, on a busy day, a share of it."""
+    return split_chunks(log, [key], F.col("us"), F.to_date("ts"), out="part")
 
 
-@query("pacing_audit", f"""WITH {LOG} SELECT kind AS host, event_id, gap_us FROM (SELECT kind, event_id, us - lag(us) OVER (PARTITION BY kind ORDER BY ts, event_id) AS gap_us FROM log)
- WHERE gap_us < 120000000""")
+@query("pacing_audit", f"""WITH {LOG} SELECT key AS host, event_id, gap_us FROM (SELECT key, event_id, us - lag(us) OVER (PARTITION BY key ORDER BY ts, event_id) AS gap_us FROM log)
+ WHERE gap_us < 7200000000""")
 def _(t):
-    out = rc.pacing_violations(t.log.withColumnRenamed("kind", "host"), "host", ORDER, "us", F.greatest(F.lit(3), F.lit(120)), _day())
+    log = _parts(t.log.withColumnRenamed("key", "host"), "host")
+    out = rc.pacing_violations(log, "host", ORDER, "us", F.greatest(F.lit(3), F.lit(7200)), F.col("part"))
     return out.select("host", "event_id", "gap_us")
 
 
 @query("retry_runs", f"""WITH {LOG}, f AS (SELECT key, status = 429 AS bad, CAST(sum((status <> 429)::INT) OVER (PARTITION BY key ORDER BY ts, event_id) AS BIGINT) AS run FROM log)
  SELECT key, run, count(*) AS attempts, count(*) > 3 AS over_budget FROM f WHERE bad GROUP BY 1, 2""")
 def _(t):
-    return rc.retry_runs(t.log, "key", ORDER, F.col("status") == 429, _day())
+    return rc.retry_runs(_parts(t.log), "key", ORDER, F.col("status") == 429, F.col("part"))
 
 
 @query("rate_limit", f"""WITH {LOG}, a AS (SELECT *, date_trunc('day', ts) AS w, row_number() OVER (PARTITION BY key, date_trunc('day', ts) ORDER BY ts, event_id) AS own FROM log),
  b AS (SELECT *, sum((own <= 3)::INT) OVER (PARTITION BY w ORDER BY ts, event_id) AS shared FROM a)
  SELECT event_id, key, CASE WHEN own > 3 THEN 'rate_limited' WHEN shared > 200 THEN 'busy' ELSE 'ok' END AS verdict FROM b""")
 def _(t):
-    out = lg.rate_limited(t.log, "key", ORDER, "1 day", 3, 200, F.date_trunc("hour", "ts"))
+    out = lg.rate_limited(t.log, "key", ORDER, "1 day", 3, 200)
     return out.select("event_id", "key", "verdict")
 
 
 @query("rate_limit_minute", f"""WITH {LOG} SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY key, date_trunc('minute', ts) ORDER BY ts, event_id) > 6 THEN 'rate_limited' ELSE 'ok' END AS verdict FROM log""")
 def _(t):
-    out = lg.rate_limited(t.log, "key", ORDER, "1 minute", lg.LOOKUPS_PER_MINUTE, lg.BUDGET_PER_MINUTE, F.date_trunc("second", "ts"))
+    out = lg.rate_limited(t.log, "key", ORDER, "1 minute", lg.LOOKUPS_PER_MINUTE, lg.BUDGET_PER_MINUTE)
     return out.select("event_id", "verdict")
 
 
@@ -60,7 +62,7 @@ def _(t):
 @query("blocked_requests", f"""WITH {LOG}, o AS (SELECT *, CASE WHEN status = 429 THEN us + greatest(retry_after, 60)::BIGINT * 1000000 WHEN status = 403 THEN 4611686018427387904 END AS until_us FROM log)
  SELECT event_id, coalesce(last_value(until_us IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > us, false) AS blocked FROM o""")
 def _(t):
-    return lg.blocked_requests(t.log, "key", ORDER, _day()).select("event_id", "blocked")
+    return lg.blocked_requests(_parts(t.log), "key", ORDER, F.col("part")).select("event_id", "blocked")
 
 
 @query("single_flight", f"""WITH {LOG} SELECT key, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS flight, count(*) AS requests FROM log GROUP BY 1, 2""")
@@ -76,14 +78,14 @@ def _(t):
   WHEN (us - seen_at) / 1000000 < CASE was WHEN 'found' THEN 604800 ELSE 900 END THEN 'stale' ELSE 'miss' END AS state FROM s WHERE kind = 'view')""")
 def _(t):
     outcome = F.when(F.col("kind") == "purchase", "found").when(F.col("kind") == "signup", "not_found")
-    out = lg.freshness(t.log, "key", ORDER, outcome, F.col("kind") == "view", _day())
+    out = lg.freshness(_parts(t.log), "key", ORDER, outcome, F.col("kind") == "view", F.col("part"))
     return out.select("event_id", "state", "refresh")
 
 
 @query("change_feed", f"""WITH {LOG} SELECT event_id, key, content FROM (SELECT event_id, key, kind AS content, lag(kind) OVER (PARTITION BY key ORDER BY ts, event_id) AS prev FROM log)
  WHERE prev IS DISTINCT FROM content""")
 def _(t):
-    out = lg.change_feed(t.log.withColumn("content", F.sha2("kind", 256)), "key", ORDER, "content", _day())
+    out = lg.change_feed(_parts(t.log.withColumn("content", F.sha2("kind", 256))), "key", ORDER, "content", F.col("part"))
     return out.select("event_id", "key", F.col("kind").alias("content"))
 
 

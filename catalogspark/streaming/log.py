@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.operators.ordered import (
-    chunked_lag, chunked_last_known, chunked_row_number, chunked_running_sum,
-)
+from catalogspark.operators.ordered import chunked_lag, chunked_last_known, nth_border
 
 WATERMARK = "10 minutes"
 # Limits and lifetimes of the lookup service.
@@ -38,19 +36,24 @@ def rate_windows(df: DataFrame, key: str, period: str, limit: int, ts: str = "ts
                           F.greatest(F.col("n") - limit, F.lit(0)).alias("over_limit"))
 
 
-def rate_limited(df: DataFrame, key: str, order: list[str], period: str, limit: int, budget: int, chunk: Column,
+def rate_limited(df: DataFrame, key: str, order: list[str], period: str, limit: int, budget: int,
                  ts: str = "ts") -> DataFrame:
     """Batch verdict per event: 'ok', 'rate_limited' (own limit) or 'busy' (shared budget).
 
-    Only events within their own limit draw on the budget. The shared window of a busy period is ranked in chunks,
-    so it never becomes one task.
+    Only events within their own limit draw on the budget. A verdict needs no rank, only the position of the last event
+    admitted: the ``limit``-th of a key and window, the ``budget``-th of a window. Groups of any size ship that many rows
+    from each task at most.
     """
     rows = df.withColumn("__w", F.window(ts, period).start)
-    ranked = chunked_row_number(rows, [key, "__w"], order, chunk, "__own")
-    admitted = ranked.withColumn("__in", (F.col("__own") <= limit).cast("long"))
-    counted = chunked_running_sum(admitted, ["__w"], order, chunk, F.col("__in"), "__shared")
-    verdict = F.when(F.col("__own") > limit, "rate_limited").when(F.col("__shared") > budget, "busy").otherwise("ok")
-    return counted.select(*df.columns, verdict.alias("verdict"))
+    position = F.struct(*order)
+    own = nth_border(rows, [key, "__w"], order, limit, "__own")
+    group = F.struct(key, "__w")
+    own = own.select(group.alias("__g"), "__own")
+    judged = rows.withColumn("__g", group).join(own, "__g", "left").withColumn("__in", F.coalesce(position <= F.col("__own"), F.lit(True)))
+    shared = nth_border(judged.where("__in"), ["__w"], order, budget, "__shared")
+    judged = judged.join(shared, "__w", "left")
+    verdict = F.when(~F.col("__in"), "rate_limited").when(position > F.col("__shared"), "busy").otherwise("ok")
+    return judged.select(*df.columns, verdict.alias("verdict"))
 
 
 def circuit_openings(df: DataFrame, status: str = "status", retry_after: str = "retry_after", ts: str = "ts") -> DataFrame:

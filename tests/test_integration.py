@@ -231,3 +231,25 @@ def test_block_pages(one):
     assert one(lambda c: crawl.is_blocked(c, F.lit(403)), "fine") is True
     assert one(crawl.is_complete_html, "<html>x</html>\n") is True
     assert one(crawl.is_complete_html, "<html>[Truncated]</html>") is False
+
+
+def test_busy_chunks_are_split_by_rows(spark):
+    """One key has 90 % of one day: no chunk holds much of it, and the results are those of plain windows."""
+    from pyspark.sql import Window
+
+    from catalogspark.streaming.log import rate_limited
+
+    rng = random.Random(11)
+    rows = [(("hot" if rng.random() < 0.9 else f"k{i % 7}"), i, dt.datetime(2026, 1, 1, 0, 0, 0) + dt.timedelta(seconds=rng.randrange(3000)), rng.random()) for i in range(2000)]
+    log = spark.createDataFrame(rows, "key string, event_id long, ts timestamp, value double").withColumn("us", F.unix_micros("ts"))
+    parts = ordered.split_chunks(log, ["key"], F.col("us"), F.to_date("ts"), rows=100, parts=40, out="part")
+    assert parts.count() == 2000 and parts.groupBy("key", "part").count().agg(F.max("count")).first()[0] < 120
+    plain = Window.partitionBy("key").orderBy("ts", "event_id")
+    got = ordered.chunked_lag(parts, ["key"], ["ts", "event_id"], F.col("part"), {"before": "value"}).select("event_id", "before")
+    assert got.exceptAll(log.select("event_id", F.lag("value").over(plain).alias("before"))).count() == 0
+    verdicts = rate_limited(log, "key", ["ts", "event_id"], "10 minutes", 30, 50)
+    w = F.window("ts", "10 minutes").start
+    own = log.withColumn("w", w).withColumn("own", F.row_number().over(Window.partitionBy("key", "w").orderBy("ts", "event_id")))
+    shared = own.withColumn("shared", F.sum((F.col("own") <= 30).cast("int")).over(Window.partitionBy("w").orderBy("ts", "event_id")))
+    want = shared.select("event_id", F.when(F.col("own") > 30, "rate_limited").when(F.col("shared") > 50, "busy").otherwise("ok").alias("verdict"))
+    assert verdicts.select("event_id", "verdict").exceptAll(want).count() == 0 and verdicts.count() == 2000
