@@ -339,13 +339,12 @@ def _(t):
   CAST(5 + c_nationkey AS DOUBLE) AS max_diameter FROM customer)
  SELECT s.spec, count(c.id) AS n FROM specs s LEFT JOIN catalog c ON c.brand = s.brand AND c.diameter <= s.max_diameter GROUP BY 1""")
 def _(t):
-    # Many specs at once: the catalog is first counted per (brand, diameter). A brand has at most as many bins as there
-    # are printed diameters (hundredths of 5..100 mm), so a spec meets a short, bounded histogram.
+    # Many specs at once: the catalog is counted per (brand, diameter) and specs are told apart by what they ask. Only
+    # distinct limits meet distinct diameters, whatever the number of specs and products.
     specs = t.customer.select(F.col("c_custkey").alias("spec"), F.concat(F.lit("Brand#"), 1 + F.col("c_nationkey") % 25).alias("brand"),
                               (5 + F.col("c_nationkey")).cast("double").alias("max_diameter"))
     bins = t.catalog.where("diameter is not null").groupBy("brand", "diameter").agg(F.count("*").alias("n"))
-    bands = bins.groupBy("brand").agg(F.collect_list(F.struct("diameter", "n")).alias("bins"))
-    joined = specs.join(bands, "brand", "left")
-    inside = F.filter("bins", lambda b: b["diameter"] <= F.col("max_diameter"))
-    total = F.aggregate(inside, F.lit(0).cast("long"), lambda a, b: a + b["n"])
-    return joined.select("spec", F.coalesce(total, F.lit(0)).alias("n"))
+    asked = specs.select("brand", "max_diameter").distinct()
+    found = asked.join(bins, "brand").where("diameter <= max_diameter").groupBy("brand", "max_diameter").agg(F.sum("n").alias("n"))
+    joined = specs.join(found, ["brand", "max_diameter"], "left")
+    return joined.select("spec", F.coalesce("n", F.lit(0)).alias("n"))

@@ -51,7 +51,7 @@ def start_queue(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def start_import(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Incremental catalog import of rows with ``dataset`` and ``capture``.
+    """Incremental catalog import of rows with ``dataset``, ``capture`` and ``declared``, the capture's own total.
 
     A capture may arrive over several micro-batches: each writes its own partition, and a replayed batch replaces
     only what it wrote before.
@@ -64,16 +64,28 @@ def start_import(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def read_imports(spark: SparkSession, path: str) -> DataFrame:
-    """The catalog as imported: per dataset the latest capture, whole; a dataset never mixes two captures."""
+    """The catalog as imported: per dataset the latest capture that has reached its declared total. A capture that is
+    still arriving is not served, and a dataset never mixes two captures."""
     rows = spark.read.parquet(path)
-    latest = rows.groupBy("dataset").agg(F.max("capture").alias("capture"))
+    arrived = rows.groupBy("dataset", "capture").agg(F.count("*").alias("n"), F.max("declared").alias("total"))
+    latest = arrived.where(F.col("n") >= F.col("total")).groupBy("dataset").agg(F.max("capture").alias("capture"))
     return rows.join(latest, ["dataset", "capture"], "left_semi").drop("batch")
 
 
-def start_circuits(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+def start_circuits(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch appends the hosts whose state it changed; a replayed batch replaces its own rows."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        overwrite_partitions(batch.withColumn("batch", F.lit(batch_id)), path, "batch")
+
     state = log.circuit_state(log.event_time(stream), "key", ["ts", "event_id"])
-    return state.writeStream.outputMode("complete").format("memory").queryName(name).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return state.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+
+
+def read_circuits(spark: SparkSession, path: str) -> DataFrame:
+    """Current circuit per host: the state of the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    return latest_state(rows, ["key"], ["batch"], ["reason", "until_us", "openings"])
 
 
 def rate_stream(stream: DataFrame, key: str = "key", period: str = "1 minute",
