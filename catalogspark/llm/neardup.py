@@ -301,9 +301,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest doc_id."""
+    """``docs`` with one document of each class: the one with the smallest doc_id. Rows without a doc_id stay if no other
+    row has their text; of equal ones among them one stays, of null texts all."""
     kept = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return named
+    digest = F.sha2("text", 256).alias("__text")
+    others = docs.where("doc_id is not null").select(digest)
+    told = unnamed.where("text is not null").select("*", digest).join(others, "__text", "left_anti").dropDuplicates(["__text"])
+    return named.unionByName(told.select(*docs.columns)).unionByName(unnamed.where("text is null"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,8 @@ def test_near_duplicates_odd_cases(docs):
     assert of[2] == of[8] == 2 and of[1] == 1 and of[9] == 9 and of[3] == 3 and of[5] == 5
     kept = neardup.one_per_class(docs([*ODD, (8, "")]))
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 3, 5, 6, 7]
+    nameless = neardup.one_per_class(docs([(None, "p q r"), (None, "p q r"), (None, None), (None, None), (None, "s t u v w"), (4, "s t u v w")])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in nameless) == [(0, ""), (0, ""), (0, "p q r"), (4, "s t u v w")]
     assert neardup.classes(docs(ODD).limit(0)).count() == 0
 
 
