@@ -29,8 +29,8 @@ from catalogspark.llm.staging import written
 from catalogspark.llm.text_arrays import as_bytes, blocks, hash_spans, lowered, mix, spans
 
 FREQUENT = 100_000
-UNITS, RARE_UNITS, CLASSES, HIDDEN = 1024, 256, 32, 24
-ROUNDS, WINDOW, LANES, RATE = 2, 16, 384, 0.01
+UNITS, RARE_UNITS, CLASSES, HIDDEN = 1024, 256, 32, 16
+ROUNDS, WINDOW, LANES, RATE = 2, 32, 512, 0.01
 ROWS_AT_ONCE = 5_000
 END = np.uint64(0x5DEECE66D1234567)
 
@@ -49,10 +49,15 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last = part[ends - 1].astype(np.uint64)
         before = np.where(ends - starts > 1, part[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
         n = b - a
-        order = np.argsort(np.concatenate([owner, np.arange(n)]), kind="stable")
-        hashes.append(np.concatenate([hash_spans(part, starts, ends), np.full(n, END)])[order])
-        rare.append(np.concatenate([(mix(before << np.uint64(8) | last) % np.uint64(RARE_UNITS)).astype(np.int64), np.zeros(n, np.int64)])[order])
-        owners.append(np.concatenate([owner, np.arange(n)])[order] + a)
+        # Every text before a word has one end before it.
+        place = np.arange(len(starts)) + owner
+        size = np.bincount(owner, minlength=n) + 1
+        hashed, unit = np.full(len(starts) + n, END), np.zeros(len(starts) + n, np.int64)
+        hashed[place] = hash_spans(part, starts, ends)
+        unit[place] = (mix(before << np.uint64(8) | last) & np.uint64(RARE_UNITS - 1)).astype(np.int64)
+        hashes.append(hashed)
+        rare.append(unit)
+        owners.append(np.repeat(np.arange(a, b), size))
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(rare), np.concatenate(owners)
@@ -140,7 +145,7 @@ def untrained(unit_tokens: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def forward(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -156,8 +161,8 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray, keep: dict
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x = np.minimum(x, 60)  # far above any sensible score; exp stays finite
+    return x - np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -213,7 +218,8 @@ class Trainer:
             h = forward(p, row, h, kept[-1])
             h[row == 0] = 0  # after an end the next document begins
         lanes = ids.shape[1]
-        _, slopes = output(p, np.concatenate(states), ids.ravel(), g)
+        before = np.concatenate(states)
+        _, slopes = output(p, before, ids.ravel(), g)
         dh = np.zeros_like(h)
         into = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
         for t in range(len(ids) - 1, -1, -1):
@@ -224,12 +230,13 @@ class Trainer:
             drh = dn @ p["cand"].T
             dr = drh * k["h"] * k["r"] * (1 - k["r"])
             gates = np.concatenate([dz, dr], 1)
-            g["gate"] += k["h"].T @ gates
-            g["cand"] += k["rh"].T @ dn
             into[t, :, :2 * HIDDEN], into[t, :, 2 * HIDDEN:] = gates, dn
             dh = dh * (1 - k["z"]) + drh * k["r"] + gates @ p["gate"].T + slopes[t * lanes:(t + 1) * lanes]
         flat, rows = ids.ravel(), into.reshape(-1, 3 * HIDDEN)
-        g["inp"] = np.stack([np.bincount(flat, rows[:, j], UNITS) for j in range(3 * HIDDEN)], 1).astype(np.float32)
+        g["gate"] = before.T @ rows[:, :2 * HIDDEN]
+        g["cand"] = np.concatenate([k["rh"] for k in kept]).T @ rows[:, 2 * HIDDEN:]
+        columns = np.ascontiguousarray(rows.T)
+        g["inp"] = np.stack([np.bincount(flat, c, UNITS) for c in columns], 1).astype(np.float32)
         self.steps += 1
         norm = float(np.sqrt(sum((x ** 2).sum() for x in g.values())))
         clip = min(1.0, 1.0 / (norm + 1e-9))
@@ -244,7 +251,7 @@ class Trainer:
 
     def read(self, units: np.ndarray) -> None:
         """One pass over the units of whole documents, dealt to lanes that run side by side."""
-        lanes = int(min(LANES, max(8, len(units) // (WINDOW * 300))))
+        lanes = int(min(LANES, max(8, len(units) // (WINDOW * 75))))
         steps = len(units) // lanes
         if not steps:
             return
@@ -304,7 +311,7 @@ def log_units(p: dict[str, np.ndarray], units: np.ndarray, begun: np.ndarray, la
             place[:lengths[column], column] = np.repeat(begun[texts], n) + inside
     out = np.zeros(len(units), np.float32)
     h = np.zeros((lanes, HIDDEN), np.float32)
-    states, where = [], []
+    states, where, held = [], [], 0
     for t in range(len(place)):
         active = int(np.searchsorted(-lengths, -t, "left"))  # lanes longer than t
         h = h[:active]
@@ -314,10 +321,11 @@ def log_units(p: dict[str, np.ndarray], units: np.ndarray, begun: np.ndarray, la
         where.append(at)
         h = forward(p, ids, h)
         h[ids == 0] = 0
-        if sum(map(len, where)) > 30_000 or t == len(place) - 1:
+        held += active
+        if held > 30_000 or t == len(place) - 1:
             at = np.concatenate(where)
             out[at] = output(p, np.concatenate(states), units[at])[0]
-            states, where = [], []
+            states, where, held = [], [], 0
     return out
 
 
