@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, quality, recurrent, toxicity
+from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, passages, quality, recurrent, toxicity
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
+    "op1_passages": passages.op1_passages,
     "op2_neardup": neardup.op2_neardup,
     "op3_language": language.op3_language,
     "op4_mixing": mixing.op4_mixing,

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.llm.bpe import RANKS, digests
-from catalogspark.llm.linededup import dedup_lines
 from catalogspark.llm.mixing import mixed
 from catalogspark.llm.neardup import one_per_class
+from catalogspark.llm.passages import dedup_passages
 from catalogspark.llm.quality import quality_filter
 from catalogspark.llm.staging import shared_folder
 
@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; n_chars follows. A document that loses all lines stays, empty, until the next stage."""
-    cut = dedup_lines(docs.select(*COLUMNS))
+    """Later repeated passages go, wherever in a line they begin; n_chars follows. A document that loses all words stays, empty, until the next stage."""
+    cut = dedup_passages(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
