@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, passages, quality, recurrent, toxicity
+from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, passages, periodic, quality, recurrent, toxicity
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_merkle": merkle.op9_merkle,
     "op10_chat": chat.op10_chat,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLE = {"op1_linededup": linededup.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op8_quality": quality.ORACLE_SQL}
