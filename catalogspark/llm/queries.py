@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import bpe, chat, language, linededup, merkle, mixing, neardup, passages, periodic, quality, recurrent, spelling, toxicity
+from catalogspark.llm import bpe, chat, extract, language, linededup, merkle, mixing, neardup, passages, periodic, quality, recurrent, spelling, toxicity
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_merkle": merkle.op9_merkle,
     "op10_chat": chat.op10_chat,
+    "op11_main_text": extract.op11_main_text,
     "op12_spelling": spelling.op12_spelling,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }

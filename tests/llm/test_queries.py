@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_all_operators_are_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == [*range(1, 11), 12, 13]
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"op12_spelling"}))
 def test_query_has_a_row_for_each_of_its_table(spark, name):
-    table = {"op3_language": "pages", "op10_chat": "conversations"}.get(name, "documents")
+    table = {"op3_language": "pages", "op11_main_text": "pages", "op10_chat": "conversations"}.get(name, "documents")
     rows = QUERIES[name](spark, FOLDER)
     n = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
     assert (rows.agg({"copies": "sum"}).first()[0] if "copies" in rows.columns else rows.count()) == n
