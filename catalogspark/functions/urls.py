@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from catalogspark.functions.text import _col, compact, fold
+from catalogspark.functions.text import _col, fold
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -128,45 +128,99 @@ def normalise_octets(c: Column | str) -> Column:
     return F.when(c.rlike(r"%|[^\x00-\x7F]"), F.array_join(F.transform(pieces, normal), "")).otherwise(c)
 
 
-# A reference matches with its separators ignored but not inside a longer word.
-_SEPARATORS = r"[\s._/–-]*"
+# A reference matches with its separators ignored but not inside a longer word. Text is read as runs of tokens: '<a> <b>'
+# are two tokens with nothing but separators between them, '|' stands for any other gap.
+_SEPARATORS = r"[\s._/–-]+"
+_DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 
-def reference_pattern(reference: Column | str) -> Column:
-    """Regular expression, as a column, for one product reference."""
-    parts = F.regexp_extract_all(fold(reference), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.concat(F.lit("(?<![a-z0-9])"), F.array_join(parts, _SEPARATORS), F.lit("(?![a-z0-9])"))
+def token_runs(text: Column | str) -> Column:
+    """Tokens of a folded or lower-case text, each in angle brackets, with a blank for separators and '|' for other gaps."""
+    plain = F.regexp_replace(F.regexp_replace(_col(text), _SEPARATORS, " "), r" ?[^a-z0-9 ][^a-z0-9]*", "|")
+    return F.regexp_replace(plain, "[a-z0-9]+", "<$0>")
 
 
-def shape_pattern(reference: Column | str) -> Column:
-    """Pattern of every text with the letters and digits of ``reference`` in the same places; null for bare numbers,
-    which look like prices."""
+def shape(text: Column) -> Column:
+    """Lower-case letters as 'a', digits as '0'."""
+    return F.translate(text, _LETTERS + _DIGITS, "a" * 26 + "0" * 10)
+
+
+def reference_form(reference: Column | str) -> Column:
+    """struct(key, joined, spaced, borders, shape): one product reference, prepared once.
+
+    ``key`` is the compacted reference, ``joined`` and ``spaced`` its token runs without and with separators,
+    ``borders`` the lengths after which a separator may stand, and ``shape`` the pattern of its letters and digits; null
+    for bare numbers, which look like prices.
+    """
     reference = _col(reference)
-    parts = F.regexp_extract_all(reference, F.lit("[A-Za-z0-9]+"), F.lit(0))
-    shapes = F.transform(
-        parts, lambda p: F.regexp_replace(F.regexp_replace(p, "[A-Za-z]", "[a-z]"), r"\d", r"\\d")
-    )
-    pattern = F.concat(F.lit("(?i)(?<![a-z0-9])"), F.array_join(shapes, _SEPARATORS), F.lit("(?![a-z0-9])"))
-    return F.when(~reference.rlike(r"^\d+$") & (F.size(parts) > 0), pattern)
+
+    def borders(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.length(F.array_join(F.slice(parts, 1, i), "")))
+
+    def form(parts: Column, raw: Column) -> Column:
+        key = F.array_join(parts, "")
+        shaped = F.when((F.size(raw) > 0) & ~reference.rlike(r"^\d+$"), shape(F.array_join(raw, "")))
+        return F.when(F.size(parts) > 0, F.struct(
+            key.alias("key"), F.concat(F.lit("<"), key, F.lit(">")).alias("joined"),
+            F.concat(F.lit("<"), F.array_join(parts, "> <"), F.lit(">")).alias("spaced"), borders(parts).alias("borders"),
+            shaped.alias("shape"), F.when(shaped.isNotNull(), borders(raw)).alias("shape_borders")))
+
+    tokens = F.regexp_extract_all(fold(reference), F.lit("[a-z0-9]+"), F.lit(0))
+    raw = F.transform(F.regexp_extract_all(reference, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    return F.transform(F.array(F.struct(tokens.alias("t"), raw.alias("r"))), lambda x: form(x["t"], x["r"]))[0]
+
+
+def _stretches(runs: Column) -> Column:
+    """Token arrays of the stretches between other gaps."""
+    tokens = F.transform(F.split(runs, r"\|"), lambda s: F.regexp_extract_all(s, F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.filter(tokens, lambda ts: F.size(ts) > 0)
+
+
+def _run_at(ts: Column, i: Column, borders: Column) -> Column:
+    """Text of the run of tokens from the i-th on that ends with the last of ``borders`` and breaks at borders only; null
+    where there is none."""
+    lengths = F.transform(F.sequence(F.lit(1), F.least(F.size(borders), F.size(ts) - i + 1)), lambda k: F.length(F.array_join(F.slice(ts, i, k), "")))
+    ends = F.array_position(lengths, F.element_at(borders, -1)).cast("int")
+    inner = F.forall(F.slice(lengths, 1, ends), lambda n: F.array_contains(borders, n))
+    return F.when((ends > 0) & inner, F.array_join(F.slice(ts, i, ends), ""))
+
+
+def mentions(runs: Column, form: Column) -> Column:
+    """Exact reference evidence: the prepared ``form`` occurs in the token runs of a folded text. Plain containment decides
+    nearly all rows; only texts that hold the key in another division are read run by run."""
+    def anywhere(ts: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.size(ts)), lambda i: F.coalesce(_run_at(ts, i, form["borders"]) == form["key"], F.lit(False)))
+
+    whole = runs.contains(form["joined"]) | runs.contains(form["spaced"])
+    near = F.regexp_replace(runs, "[<> |]", "").contains(form["key"])
+    return F.coalesce(whole | (near & F.exists(_stretches(runs), anywhere)), F.lit(False))
 
 
-def mentions(text: Column | str, key: Column, pattern: Column) -> Column:
-    """Exact reference evidence from a product's prepared ``key`` and ``pattern``. The cheap containment test spares
-    most rows the per-row pattern."""
-    text = fold(text)
-    near = F.contains(F.regexp_replace(text, "[^a-z0-9]", ""), key)
-    return F.coalesce(F.when(near, F.rlike(text, pattern)), F.lit(False))
+def mentions_other(runs: Column, form: Column) -> Column:
+    """A different reference of the same shape is in the token runs of a lower-case text. Runs are taken from left to
+    right and do not overlap."""
+    def other(ts: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            found = F.when(i >= state["free"], _run_at(ts, i, form["shape_borders"]))
+            hit = F.coalesce(shape(found) == form["shape"], F.lit(False))
+            tokens = F.size(F.filter(F.sequence(F.lit(1), F.size(ts) - i + 1), lambda k: F.length(F.array_join(F.slice(ts, i, k), "")) <= F.length(found)))
+            return F.when(hit, F.struct((i + tokens).alias("free"), (state["other"] | (found != form["key"])).alias("other"))).otherwise(state)
 
+        start = F.struct(F.lit(1).alias("free"), F.lit(False).alias("other"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(ts)), start, step, lambda state: state["other"])
 
-def mentions_other(text: Column | str, key: Column, shape: Column) -> Column:
-    """A different reference of the same shape is in the text."""
-    seen = F.regexp_extract_all(_col(text), shape, F.lit(0))
-    return F.coalesce(F.exists(seen, lambda m: F.regexp_replace(F.lower(m), "[^a-z0-9]", "") != key), F.lit(False))
+    compacted = F.regexp_replace(runs, "[<> |]", "")
+    shaped = shape(compacted)
+    first = F.position(form["shape"], shaped)
+    # The only run of the shape is the reference itself: nothing of its shape begins before it or after it.
+    alone = (first == F.position(form["key"], compacted)) & (runs.contains(form["joined"]) | runs.contains(form["spaced"])) \
+        & ~F.substring(shaped, first + F.length(form["shape"]), F.length(shaped)).contains(form["shape"])
+    return F.coalesce((first > 0) & ~alone & F.exists(_stretches(runs), other), F.lit(False))
 
 
 def has_reference(text: Column | str, reference: Column | str) -> Column:
-    return mentions(text, compact(reference), reference_pattern(reference))
+    return mentions(token_runs(fold(text)), reference_form(reference))
 
 
 def has_other_reference(text: Column | str, reference: Column | str) -> Column:
-    return mentions_other(text, compact(reference), shape_pattern(reference))
+    return mentions_other(token_runs(F.lower(_col(text))), reference_form(reference))

@@ -12,7 +12,7 @@ from catalogspark.functions.text import _col
 from catalogspark.functions.urls import (
     SitePattern, classify_url, host, normalise_octets, path, query, resolve, scheme, url_key, url_reference,
 )
-from catalogspark.session import cut_lineage
+from catalogspark.session import scratch_folder
 from catalogspark.shaping import once
 
 # Markers of a bot-challenge page and the statuses that close a host.
@@ -36,15 +36,6 @@ def is_blocked(body: Column | str, status: Column | None = None) -> Column:
     return hit if status is None else hit | F.coalesce(status.isin(*BLOCKING_STATUSES), F.lit(False))
 
 
-def robots_regex(pattern: Column | str) -> Column:
-    """Regular expression of a robots path pattern: '*' is any run, a final '$' anchors the end."""
-    c = _col(pattern)
-    anchored = c.endswith("$")
-    body = F.when(anchored, F.regexp_replace(c, r"\$$", "")).otherwise(c)
-    quoted = F.regexp_replace(body, r"([\\.+?^${}()|\[\]])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(anchored, "$").otherwise(""))
-
-
 def robots_specificity(pattern: Column | str) -> Column:
     return F.octet_length(F.regexp_replace(_col(pattern), r"\*|\$$", ""))
 
@@ -60,14 +51,19 @@ def select_agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     return chosen.where(F.trim("pattern") != "")
 
 
-def robots_rules(files: DataFrame, host_col: str, body: str) -> DataFrame:
+def robots_rules(files: DataFrame, host_col: str, body: str, captured: str | None = None) -> DataFrame:
     """(host, agent, allow, pattern, delay, signals, sitemap) of robots texts: one row per agent and rule line.
 
+    A host has one robots file. Of several captures the one with the largest ``captured`` binds, of equally new ones
+    the last text in order; lines of different files never meet.
+
     A group is a run of user-agent lines and all other lines up to the next user-agent line. ``delay`` and
     ``signals`` are null but on their own lines, ``sitemap`` rows bind no agent. The running group number is taken
     over the lines of one file. A group without a rule has one row with an empty pattern, so that it can be chosen.
     """
-    split = files.select(F.col(host_col).alias("host"), F.posexplode(F.split(body, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("at", "raw"))
+    age = F.struct(F.lit(0) if captured is None else F.col(captured), F.col(body))
+    newest = files.groupBy(F.col(host_col).alias("host")).agg(F.max_by(body, age).alias("body"))
+    split = newest.select("host", F.posexplode(F.split("body", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("at", "raw"))
     line = F.trim(F.regexp_replace("raw", "#.*", ""))
     split = split.select("host", "at", line.alias("line")).where(F.col("line").contains(":"))
     keyed = split.select("host", "at", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
@@ -88,41 +84,73 @@ def robots_rules(files: DataFrame, host_col: str, body: str) -> DataFrame:
     return bound.distinct().unionByName(sitemaps.distinct(), allowMissingColumns=True)
 
 
+def robots_head(pattern: Column | str) -> Column:
+    """Literal beginning of a pattern: what stands before its first '*' or its closing '$'."""
+    c = _col(pattern)
+    return F.when(c.contains("*"), F.substring_index(c, "*", 1)).otherwise(F.regexp_replace(c, r"\$$", ""))
+
+
+def robots_tail_matches(url_path: Column, head: Column, tail: Column) -> Column:
+    """The rest of a pattern, from its first '*' or its closing '$', fits the rest of a path that begins with ``head``.
+    Pieces between stars are looked for one after another, each as early as possible; no pattern is compiled."""
+    anchored = tail.endswith("$")
+    pieces = F.split(F.regexp_replace(tail, r"\$$", ""), r"\*")
+    last = F.when(anchored & (F.size(pieces) > 1), F.element_at(pieces, -1)).otherwise("")
+    middle = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - F.when(anchored, 2).otherwise(1), F.lit(0))), lambda p: p != "")
+
+    def on(at: Column, piece: Column) -> Column:
+        found = F.position(piece, url_path, at)
+        return F.when((at == 0) | (found == 0), F.lit(0)).otherwise(found + F.length(piece))
+
+    at = F.aggregate(middle, F.length(head) + 1, on)
+    ends = url_path.endswith(last) & (F.length(url_path) - F.length(last) + 1 >= at)
+    whole = F.length(url_path) == F.length(head)
+    return F.when(tail == "", F.lit(True)).when(tail == "$", whole).otherwise((at > 0) & (~anchored | ends))
+
+
 def robots_decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``allowed``: the longest matching rule wins, allow wins ties, no rule means allowed.
 
-    A host's rules become one row (a robots file is size-bounded), so urls meet them in one equi join on host and
-    no url is multiplied by its rules. Adaptive execution broadcasts the rules while they are small and splits a
-    hot host otherwise. Plain prefixes are tested without a regular expression.
+    Longest-prefix match by equi joins. A distinct (host, path) is cut at the lengths that the literal heads of its host's
+    rules have, and each cut meets the rules with that very head, so rules that cannot match are never looked at,
+    whatever their number. Wildcard rules are tested on what follows their head. One aggregation keeps the best rule.
     """
-    rules = rules.withColumn("pattern", normalise_octets("pattern"))
-    wild = F.col("pattern").rlike(r"\*|\$$")
-    rule = F.struct(
-        robots_specificity("pattern").alias("len"), F.col("allow").alias("allow"), F.col("pattern").alias("pattern"),
-        F.when(wild, robots_regex("pattern")).alias("regex"),
-    )
-    per_host = rules.groupBy("host").agg(F.collect_list(rule).alias("__rules"))
+    pattern = normalise_octets("pattern")
+    heads = rules.select(F.col("host").alias("__host"), F.col("allow").alias("__allow"), pattern.alias("__pattern"))
+    heads = heads.select("__host", robots_head("__pattern").alias("__head"), "__pattern", F.struct(
+        robots_specificity("__pattern").alias("len"), F.col("__allow").alias("allow")).alias("__rule"))
+    tail = F.substring("__pattern", F.length("__head") + 1, F.length("__pattern"))
+    # Plain rules of one head are one rule.
+    heads = heads.groupBy("__host", "__head", tail.alias("__tail")).agg(F.max("__rule").alias("__rule"))
+    lengths = heads.select("__host", F.length("__head").alias("__n")).distinct()
     raw = F.concat(F.when(path("url") == "", "/").otherwise(path("url")), query("url"))
-    keyed = urls.withColumns({"host": host("url"), "__path": normalise_octets(raw)})
-    joined = keyed.join(per_host, "host", "left")
-    hits = F.filter("__rules", lambda r: F.when(r["regex"].isNull(), F.startswith(F.col("__path"), r["pattern"]))
-                    .otherwise(F.rlike(F.col("__path"), r["regex"])))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["len"], r["allow"].alias("allow"))))
-    allowed = F.coalesce(best["allow"], F.lit(True))
-    return joined.select(*urls.columns, allowed.alias("allowed"))
+    keyed = urls.withColumns({"__host": host("url"), "__path": normalise_octets(raw)})
+    asked = keyed.select("__host", "__path").distinct()
+    cuts = asked.join(lengths, "__host").where(F.col("__n") <= F.length("__path")).withColumn("__head", F.left("__path", F.col("__n")))
+    hits = cuts.join(heads, ["__host", "__head"]).where(robots_tail_matches(F.col("__path"), F.col("__head"), F.col("__tail")))
+    best = hits.groupBy("__host", "__path").agg(F.max("__rule").alias("__rule"))
+    joined = keyed.join(best, ["__host", "__path"], "left")
+    return joined.select(*urls.columns, F.coalesce(F.col("__rule.allow"), F.lit(True)).alias("allowed"))
 
 
 def grant_decide(urls: DataFrame, grants: DataFrame, purpose: str, today: Column) -> DataFrame:
     """Add ``granted``: a written grant for the purpose, in date, whose https prefix covers the url at a path
-    boundary. ``grants`` has one row per (prefix, purpose flag); grants of a host are folded into one row."""
+    boundary. ``grants`` has one row per (prefix, purpose flag). A distinct path is cut before each of its slashes and the
+    cuts are looked up among the prefixes of its host by an equi join, whatever their number."""
     scope = grants.where(F.col(purpose) & (F.col("evidence") != "") & (F.col("valid_until") >= today))
     scope = scope.where((scheme("url_prefix") == "https") & (query("url_prefix") == ""))
-    scopes = scope.select(host("url_prefix").alias("host"), path("url_prefix").alias("__prefix"))
-    per_host = scopes.groupBy("host").agg(F.collect_set("__prefix").alias("__prefixes"))
-    joined = urls.withColumns({"host": host("url"), "__path": path("url")}).join(per_host, "host", "left")
-    covered = F.exists("__prefixes", lambda p: (F.col("__path") == p) | F.startswith(
-        F.col("__path"), F.concat(F.regexp_replace(p, "/+$", ""), F.lit("/"))))
-    return joined.select(*urls.columns, F.coalesce(covered, F.lit(False)).alias("granted"))
+    prefix = path("url_prefix")
+    keys = F.array(F.struct(F.lit("whole").alias("how"), prefix.alias("key")), F.struct(F.lit("below").alias("how"), F.regexp_replace(prefix, "/+$", "").alias("key")))
+    scopes = scope.select(host("url_prefix").alias("__host"), F.inline(keys)).distinct()
+    keyed = urls.withColumns({"__host": host("url"), "__path": path("url")})
+    parts = F.split("__path", "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(
+        F.lit("below").alias("how"), F.array_join(F.slice(parts, 1, i), "/").alias("key"))))
+    whole = F.array(F.struct(F.lit("whole").alias("how"), F.col("__path").alias("key")))
+    cuts = keyed.select("__host", "__path").distinct().select("__host", "__path", F.inline(F.concat(whole, F.coalesce(above, F.slice(whole, 1, 0)))))
+    covered = cuts.join(scopes, ["__host", "how", "key"], "left_semi").select("__host", "__path").distinct().withColumn("granted", F.lit(True))
+    joined = keyed.join(covered, ["__host", "__path"], "left")
+    return joined.select(*urls.columns, F.coalesce(joined["granted"], F.lit(False)).alias("granted"))
 
 
 def page_links(pages: DataFrame, id_col: str, body: str) -> DataFrame:
@@ -161,23 +189,45 @@ def work_order(queue: DataFrame, kind: str = "kind", url: str = "url") -> DataFr
     return queue.withColumn("kind_rank", rank)
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
+def expand_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, buckets: int = 64) -> DataFrame:
     """(node, origin, round) reachable from the seeds over ``links(src, dst)``.
 
-    Breadth first: each round joins only the newest nodes, keeps targets not seen before and cuts the lineage, so
-    the plan stays constant and a lost executor costs one round. The driver sees one boolean per round. It ends when
-    nothing new is reached; ``max_depth`` is the caller's own limit, not one of the operator.
+    Breadth first and semi-naive. Links and what was reached lie in tables cut into buckets by a hash of the node. A round
+    reads the links in the newest nodes' buckets and, of all earlier rounds, the buckets of their targets; it appends
+    the new nodes and rewrites nothing, so over all rounds every reached node is written once and every link is
+    followed once. The driver sees the numbers of touched buckets. It ends when nothing new is reached;
+    ``max_depth`` is the caller's own limit, not one of the operator. Unknown nodes are no nodes.
     """
-    edges = cut_lineage(links.select("src", "dst").distinct())
-    frontier = cut_lineage(seeds.select("node").distinct().select("node", F.lit("seed").alias("origin"),
-                                                                  F.lit(0).alias("round")))
-    seen = frontier
+    spark = links.sparkSession
+    folder = scratch_folder(spark, "frontier")
+    node_type = links.schema["dst"].dataType.simpleString()
+
+    def bucket(node: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(node).cast(node_type)), F.lit(buckets)).cast("int")
+
+    def keep(df: DataFrame, name: str) -> None:
+        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}")
+
+    def stored(name: str, columns: str) -> DataFrame:
+        return spark.read.schema(f"{columns}, bucket int").parquet(f"{folder}/{name}")
+
+    def touched(df: DataFrame) -> list[int]:
+        return [r["bucket"] for r in df.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+
+    def reached() -> DataFrame:
+        return spark.read.schema(f"node {node_type}, origin string, round int, bucket int").parquet(f"{folder}/seen")
+
+    keep(links.where("src is not null and dst is not null").select("src", "dst").distinct().withColumn("bucket", bucket("src")), "links")
+    start = seeds.select(F.col("node").cast(node_type).alias("node")).where("node is not null").distinct()
+    keep(start.select("node", F.lit("seed").alias("origin"), bucket("node").alias("bucket")), "seen/round=0")
     for step in count(1):
-        if max_depth is not None and step > max_depth:
-            return seen
-        reached = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
-        fresh = reached.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = cut_lineage(fresh.select("node", F.lit("link").alias("origin"), F.lit(step).alias("round")))
-        if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+        newest = stored(f"seen/round={step - 1}", f"node {node_type}, origin string")
+        here = touched(newest)
+        if not here or (max_depth is not None and step > max_depth):
+            return reached().drop("bucket")
+        edges = stored("links", f"src {node_type}, dst {node_type}").where(F.col("bucket").isin(here))
+        out = edges.join(newest.select("bucket", F.col("node").alias("src")), ["bucket", "src"], "left_semi")
+        keep(out.select(F.col("dst").alias("node")).distinct().withColumn("bucket", bucket("node")), f"targets/round={step}")
+        targets = stored(f"targets/round={step}", f"node {node_type}")
+        known = reached().where(F.col("bucket").isin(touched(targets))).select("bucket", "node")
+        keep(targets.join(known, ["bucket", "node"], "left_anti").select("node", F.lit("link").alias("origin"), "bucket"), f"seen/round={step}")

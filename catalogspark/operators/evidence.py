@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.dates import reported_date
 from catalogspark.functions.money import condition_label, sole_price
-from catalogspark.functions.text import _col, compact
-from catalogspark.functions.urls import (
-    host, is_safe_link, mentions, mentions_other, path, reference_pattern, shape_pattern,
-)
+from catalogspark.functions.text import _col, fold
+from catalogspark.functions.urls import host, is_safe_link, mentions, mentions_other, path, reference_form, token_runs
 from catalogspark.operators.merge import latest_state
 from catalogspark.operators.ordered import top_per_key
 from catalogspark.shaping import once
@@ -40,37 +38,49 @@ def names_brand(text: Column, brand: Column | str) -> Column:
     return F.coalesce(F.contains(words, F.concat(F.lit(" "), F.lower(brand_word(brand)), F.lit(" "))), F.lit(False))
 
 
-def is_identified(title: Column, snippet: Column, link: Column, key: Column, pattern: Column) -> Column:
-    """The snippet names the reference, or the title and the link's path both do."""
-    return mentions(snippet, key, pattern) | (mentions(title, key, pattern) & mentions(path(link), key, pattern))
+def is_identified(title: Column, snippet: Column, link: Column, form: Column) -> Column:
+    """The snippet names the reference, or the title and the link's path both do. Texts are token runs."""
+    return mentions(snippet, form) | (mentions(title, form) & mentions(link, form))
+
+
+def worth_reading(hits: DataFrame) -> DataFrame:
+    """Hits with a safe link and a title that is no accessory's."""
+    return hits.where(is_safe_link("link") & ~is_accessory("title"))
 
 
 def match_hits(products: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits (id, title, snippet, link, date, position) that identify their product and are no accessory.
+    """Hits (id, title, snippet, link, date, position) that identify their product and are no accessory."""
+    return identified(products, worth_reading(hits))
 
-    Patterns are prepared once per product, before the join. Cheap tests come first; the per-row patterns run on
-    what is left.
+
+def identified(products: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits whose texts name the product's reference and brand, and no other reference of that shape.
+
+    References are prepared once per product, texts are cut into token runs once per hit; a match is a comparison
+    of the two, and no pattern is compiled per row.
     """
-    prepared = products.select(
-        "id", "brand", "reference", compact("reference").alias("__key"), reference_pattern("reference").alias("__pattern"),
-        shape_pattern("reference").alias("__shape"))
-    cheap = hits.where(is_safe_link("link") & ~is_accessory("title")).join(prepared, "id")
-    evidence = F.concat_ws(" ", "title", "snippet")
-    key, pattern = F.col("__key"), F.col("__pattern")
-    matched = cheap.where(
-        is_identified(F.col("title"), F.col("snippet"), F.col("link"), key, pattern)
-        & names_brand(evidence, "brand") & ~mentions_other("snippet", key, F.col("__shape"))
+    prepared = products.select("id", "brand", "reference", reference_form("reference").alias("__form"))
+    cut = once(hits, __snippet=token_runs(fold("snippet"))).join(prepared, "id")
+    form = F.col("__form")
+    title, link = token_runs(fold("title")), token_runs(fold(path("link")))
+    # A text in plain ASCII is its own fold.
+    lowered = F.when(F.col("snippet").rlike(r"[^\x00-\x7F]"), token_runs(F.lower("snippet"))).otherwise(F.col("__snippet"))
+    matched = cut.where(
+        is_identified(title, F.col("__snippet"), link, form)
+        & names_brand(F.concat_ws(" ", "title", "snippet"), "brand") & ~mentions_other(lowered, form)
     )
-    return matched.drop("__key", "__pattern", "__shape")
+    return matched.drop("__form", "__snippet")
 
 
 def price_reports(products: DataFrame, hits: DataFrame, now: Column, n: int = REPORTS_PER_PRODUCT) -> DataFrame:
     """Up to ``n`` reports per product: one per url (the last hit wins), dated first, newest first, then position.
 
-    Both the url dedupe and the top-n are trimmed inside the map tasks before the shuffle.
+    The price needs no product, so hits without one go before the join. Both the url dedupe and the top-n are
+    trimmed inside the map tasks before the shuffle.
     """
     evidence = F.concat_ws(" ", "title", "snippet")
-    found = once(match_hits(products, hits), __p=sole_price("snippet")).where(F.col("__p").isNotNull())
+    priced = once(worth_reading(hits), __p=sole_price("snippet")).where(F.col("__p").isNotNull())
+    found = identified(products, priced)
     reports = found.select(
         "id", F.col("link").alias("source_url"), host("link").alias("source_domain"), F.col("position"),
         reported_date("date", now).alias("source_date"), condition_label(evidence).alias("condition"),

@@ -163,7 +163,10 @@ Sitemap: https://maps.example/s.xml
 def _(t):
     hosts = t.pages.select(ur.host("url").alias("host")).distinct()
     own = F.when(F.col("host").endswith(".org"), "").otherwise(_ROBOTS_OWN)
-    return cr.robots_rules(hosts.withColumn("body", F.concat(F.lit(_ROBOTS), own)), "host", "body")
+    # Every host but .org was captured before, with other groups: those bind no more.
+    old = hosts.where(~F.col("host").endswith(".org")).select("host", F.lit("User-agent: old\nDisallow: /old/\n" + _ROBOTS_OWN).alias("body"), F.lit(1).alias("captured"))
+    files = hosts.select("host", F.concat(F.lit(_ROBOTS), own).alias("body"), F.lit(2).alias("captured")).unionByName(old)
+    return cr.robots_rules(files, "host", "body", "captured")
 
 
 @query("grant_decide", f"""WITH u AS (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages)

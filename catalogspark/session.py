@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,26 @@ def build_session(app: str = "catalogspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. A private one is made only when the setting is absent
+    and the session runs in a single JVM, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that one job writes and reads again."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A private one is made only when the
-    setting is absent and the session runs in a single JVM, as in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -147,3 +147,45 @@ def test_record_id_and_validation(spark):
     assert bad.select(records.validation_errors()).first()[0] == [
         "Missing identity field: reference_number", "Source URL must use HTTPS", "Case diameter outside wristwatch review range",
         "Currency must be an ISO code"]
+
+
+def test_references_against_patterns(spark):
+    """Token runs against one pattern per reference, built and run here."""
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(6)
+    sep = r"[ \t\n\x0b\f\r._/–-]*"
+
+    def plain(s):
+        return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).lower()
+
+    def named(text, ref):
+        parts = re.findall("[a-z0-9]+", plain(ref))
+        return bool(parts) and re.search("(?<![a-z0-9])" + sep.join(parts) + "(?![a-z0-9])", plain(text)) is not None
+
+    def other(text, ref):
+        parts = re.findall("[A-Za-z0-9]+", ref)
+        if re.fullmatch(r"\d+", ref) or not parts:
+            return False
+        form = sep.join(re.sub("[0-9]", r"\\d", re.sub("[A-Za-z]", "[a-z]", p)) for p in parts)
+        key = "".join(re.findall("[a-z0-9]+", plain(ref)))
+        return any(re.sub("[^a-z0-9]", "", m.lower()) != key for m in re.findall("(?a)(?i:(?<![a-z0-9])" + form + "(?![a-z0-9]))", text.lower()))
+
+    refs = ["A1", "1-2", "a1-b", "12.3/4", "A-1-B-2", "5711", "A", "12-3", "é1", "", "--"]
+    rows = []
+    for _ in range(3000):
+        ref = rng.choice(refs)
+        noise = [rng.choice(["A", "a", "1", "2", "12", "3", "4", "b", "B", "x", "5711", "é"]) for _ in range(rng.randint(0, 5))]
+        text = "".join(w + rng.choice(["", " ", "-", ".", "/", ", ", " - ", ";", "|", "<", "> <"]) for w in noise)
+        at = rng.randint(0, len(text))
+        said = rng.choice(["", ref, re.sub("[-./]", rng.choice(["", " ", ", "]), ref), ref.lower(), ref.replace("1", "2")])
+        rows.append((text[:at] + rng.choice(["", " "]) + said + rng.choice(["", " "]) + text[at:], ref))
+    df = spark.createDataFrame(rows, "text string, ref string").select("*", urls.has_reference("text", "ref").alias("own"), urls.has_other_reference("text", "ref").alias("other"))
+    seen = set()
+    for r in df.collect():
+        assert r["own"] == named(r["text"], r["ref"]), (r["text"], r["ref"])
+        assert r["other"] == other(r["text"], r["ref"]), (r["text"], r["ref"])
+        seen.add((r["own"], r["other"]))
+    assert len(seen) == 4

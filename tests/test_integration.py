@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,53 @@ def test_robots_text_to_rules(spark):
     assert got == [("", "", None, "https://s/1"), ("a", "", 0.0, None), ("a", "/x", None, None), ("b", "", 0.0, None), ("b", "/x", None, None), ("c", "", None, None)]
 
 
+def test_robots_newest_file_of_a_host_binds_alone(spark):
+    files = [("h", "User-agent: a\nDisallow: /x\n", 2), ("h", "User-agent: *\nDisallow: /y\nUser-agent: a\nDisallow: /z", 1), ("g", "User-agent: *\nDisallow: /", 1)]
+    rules = crawl.robots_rules(spark.createDataFrame(files, "host string, body string, at int"), "host", "body", "at")
+    assert sorted((r["host"], r["agent"], r["pattern"]) for r in rules.collect()) == [("g", "*", "/"), ("h", "a", "/x")]
+
+
+def robots_brute(path, rules):
+    hits = []
+    for allow, pattern in rules:
+        body, end = (pattern[:-1], "$") if pattern.endswith("$") else (pattern, "")
+        if re.match("^" + ".*".join(map(re.escape, body.split("*"))) + end, path, re.S):
+            hits.append((len(body.replace("*", "")), allow))
+    return max(hits, default=(0, True))[1]
+
+
+def test_robots_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab/*$") for _ in range(rng.randint(1, 7)))
+    rules = sorted({(rng.random() < 0.5, "/" + word()) for _ in range(400)})
+    paths = ["/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 8))) for _ in range(300)] + ["/"]
+    table = spark.createDataFrame([("x", a, p) for a, p in rules], "host string, allow boolean, pattern string")
+    urls = spark.createDataFrame([(f"https://x{p}", 1) for p in paths], "url string, host int")  # a column of the caller's own named host
+    out = crawl.robots_decide(urls, table)
+    assert out.columns == ["url", "host", "allowed"] and out.count() == len(paths)
+    for r in out.collect():
+        assert r["allowed"] == robots_brute(r["url"][len("https://x"):], rules), r["url"]
+
+
+def test_robots_of_a_host_with_many_rules(spark):
+    rules = spark.range(100_000).select(F.lit("x").alias("host"), (F.col("id") % 2 == 0).alias("allow"), F.concat(F.lit("/p"), "id", F.lit("/")).alias("pattern"))
+    urls = spark.range(2_000).select(F.concat(F.lit("https://x/p"), F.col("id") * 60, F.lit("/q")).alias("url"), "id")
+    out = crawl.robots_decide(urls, rules)
+    assert out.where("not allowed").count() == urls.where("id * 60 < 100000 and id * 60 % 2 = 1").count() == 0
+    odd = crawl.robots_decide(urls.withColumn("url", F.concat(F.lit("https://x/p"), F.col("id") * 60 + 1, F.lit("/"))), rules)
+    assert odd.where("not allowed").count() == sum(i * 60 + 1 < 100_000 for i in range(2_000))
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_frontier_appends_only(spark):
+    links = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    out = crawl.expand_frontier(spark.createDataFrame([(0,)], "node int"), links, buckets=4)
+    assert sorted((r["node"], r["round"]) for r in out.collect()) == [(i, i) for i in range(31)]
+    files = out.inputFiles()
+    assert len(files) == 31 and len({f.split("round=")[1].split("/")[0] for f in files}) == 31  # one new file for each node, none rewritten
+
+
 def test_frontier_follows_long_chains(spark):
     links = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     out = crawl.expand_frontier(spark.createDataFrame([(0,)], "node long"), links)
