@@ -57,15 +57,7 @@ def display_price(currency: Column | str, amount: Column | str) -> Column:
     return F.concat(_col(currency), F.lit(" "), F.format_number(_col(amount), 0))
 
 
-# One match carries its context: up to 30 characters before in group 1, the token in group 2, up to 35 after in
-# group 3. The leading lookahead keeps the lookbehind off every position that starts no token.
-_IN_CONTEXT = (
-    rf"(?i)(?={_TOKEN})(?<=(^[\s\S]{{0,{CONTEXT_BEFORE - 1}}}|[\s\S]{{{CONTEXT_BEFORE}}}))({_TOKEN})"
-    rf"(?=([\s\S]{{0,{CONTEXT_AFTER}}}))"
-)
-
-
-_SEPARATORS = "\x01\x02\x03\x04"
+_MARKS_OF_A_MATCH = "\x01\x02"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,13 +67,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def price_candidates(text: Column | str) -> Column:
     """array<struct<amount,currency,mark,raw>> of the figures in ``text`` that read as a plain asking price."""
-    text = F.translate(_col(text), _SEPARATORS, "    ")
-    # One pass marks every match with its context; the pieces are then cut at the marks.
-    marked = F.regexp_replace(text, _IN_CONTEXT, "{}$1{}$2{}$3{}".format(*_SEPARATORS))
-    found = _let(F.split(marked, _SEPARATORS[0]), lambda pieces: F.slice(pieces, 2, F.size(pieces)))
-    matches = F.transform(found, lambda piece: _let(
-        F.split(piece, f"[{_SEPARATORS[1:]}]"),
-        lambda cut: F.struct(F.get(cut, 0).alias("before"), F.get(cut, 1).alias("raw"), F.get(cut, 2).alias("after"))))
+    text = _col(text)
+    text = F.when(text.rlike(f"[{_MARKS_OF_A_MATCH}]"), F.translate(text, _MARKS_OF_A_MATCH, "  ")).otherwise(text)
+    # Matches are marked in one pass; cut at the marks, every second piece is one.
+    pieces = F.split(F.regexp_replace(text, f"(?i){_TOKEN}", "{}$0{}".format(*_MARKS_OF_A_MATCH)), f"[{_MARKS_OF_A_MATCH}]")
+
+    def in_context(p: Column, ends: Column, starts: Column) -> Column:
+        # Longer pieces are cut to what a context can hold, so a match costs the same in a text of any length.
+        def match(i: Column) -> Column:
+            at = 2 * i
+            first = F.greatest(at - 2 * CONTEXT_BEFORE, F.lit(1))
+            return F.struct(F.right(F.array_join(F.slice(ends, first, at - first), ""), F.lit(CONTEXT_BEFORE)).alias("before"), F.get(p, at - 1).alias("raw"),
+                            F.left(F.array_join(F.slice(starts, at + 1, 2 * CONTEXT_AFTER), ""), F.lit(CONTEXT_AFTER)).alias("after"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int")), lambda i: i > 0), match)
+
+    matches = _let(pieces, lambda p: _let(F.transform(p, lambda x: F.right(x, F.lit(CONTEXT_BEFORE))), lambda ends: _let(
+        F.transform(p, lambda x: F.left(x, F.lit(CONTEXT_AFTER))), lambda starts: in_context(p, ends, starts))))
 
     def read(m: Column) -> Column:
         number = F.regexp_extract(m["raw"], _NUMBER, 0)

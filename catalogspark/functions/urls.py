@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -209,13 +209,21 @@ def mentions_other(runs: Column, form: Column) -> Column:
         start = F.struct(F.lit(1).alias("free"), F.lit(False).alias("other"))
         return F.aggregate(F.sequence(F.lit(1), F.size(ts)), start, step, lambda state: state["other"])
 
-    compacted = F.regexp_replace(runs, "[<> |]", "")
-    shaped = shape(compacted)
-    first = F.position(form["shape"], shaped)
-    # The only run of the shape is the reference itself: nothing of its shape begins before it or after it.
-    alone = (first == F.position(form["key"], compacted)) & (runs.contains(form["joined"]) | runs.contains(form["spaced"])) \
-        & ~F.substring(shaped, first + F.length(form["shape"]), F.length(shaped)).contains(form["shape"])
-    return F.coalesce((first > 0) & ~alone & F.exists(_stretches(runs), other), F.lit(False))
+    whole = runs.contains(form["joined"]) | runs.contains(form["spaced"])
+
+    def seen(compacted: Column, shaped: Column) -> Column:
+        first = F.position(form["shape"], shaped)
+        after = F.substring(shaped, first + F.length(form["shape"]), F.length(shaped))
+        # The only run of the shape is the reference itself: nothing of its shape begins before it or after it.
+        alone = whole & (first == F.position(form["key"], compacted)) & ~after.contains(form["shape"])
+        return (first > 0) & ~alone & F.exists(_stretches(runs), other)
+
+    return F.coalesce(_let(F.regexp_replace(runs, "[<> |]", ""), lambda c: _let(shape(c), lambda s: seen(c, s))), F.lit(False))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
 
 
 def has_reference(text: Column | str, reference: Column | str) -> Column:

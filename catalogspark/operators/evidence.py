@@ -26,16 +26,18 @@ def is_accessory(title: Column | str) -> Column:
 
 
 def brand_word(brand: Column | str) -> Column:
-    """First word of three letters or more; null when the brand has none."""
-    word = F.regexp_extract(_col(brand), r"(?i)[a-z]{3,}", 0)
+    """First word of three letters or more, in lower case; null when the brand has none."""
+    word = F.lower(F.regexp_extract(_col(brand), r"(?i)[a-z]{3,}", 0))
     return F.when(word != "", word)
 
 
-def names_brand(text: Column, brand: Column | str) -> Column:
-    """The brand's word stands alone in the text. Everything but word characters becomes a space, so containment of
-    ' word ' is the whole-word test and no pattern is compiled per row."""
+def names_brand(text: Column, word: Column, runs: Column) -> Column:
+    """The brand's word (see ``brand_word``) stands alone in the text, of which ``runs`` may hold the token runs of a part.
+    Everything but word characters becomes a space, so containment of ' word ' is the whole-word test and no pattern is
+    compiled per row; in plain text without underscores a token of the runs tells as much."""
+    plain = ~text.rlike(r"[^\x00-\x5E\x60-\x7F]") & runs.contains(F.concat(F.lit("<"), word, F.lit(">")))
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "), F.lit(" "))
-    return F.coalesce(F.contains(words, F.concat(F.lit(" "), F.lower(brand_word(brand)), F.lit(" "))), F.lit(False))
+    return F.coalesce(plain | F.contains(words, F.concat(F.lit(" "), word, F.lit(" "))), F.lit(False))
 
 
 def is_identified(title: Column, snippet: Column, link: Column, form: Column) -> Column:
@@ -59,7 +61,7 @@ def identified(products: DataFrame, hits: DataFrame) -> DataFrame:
     References are prepared once per product, texts are cut into token runs once per hit; a match is a comparison
     of the two, and no pattern is compiled per row.
     """
-    prepared = products.select("id", "brand", "reference", reference_form("reference").alias("__form"))
+    prepared = products.select("id", "brand", "reference", reference_form("reference").alias("__form"), brand_word("brand").alias("__word"))
     cut = once(hits, __snippet=token_runs(fold("snippet"))).join(prepared, "id")
     form = F.col("__form")
     title, link = token_runs(fold("title")), token_runs(fold(path("link")))
@@ -67,9 +69,9 @@ def identified(products: DataFrame, hits: DataFrame) -> DataFrame:
     lowered = F.when(F.col("snippet").rlike(r"[^\x00-\x7F]"), token_runs(F.lower("snippet"))).otherwise(F.col("__snippet"))
     matched = cut.where(
         is_identified(title, F.col("__snippet"), link, form)
-        & names_brand(F.concat_ws(" ", "title", "snippet"), "brand") & ~mentions_other(lowered, form)
+        & names_brand(F.concat_ws(" ", "title", "snippet"), F.col("__word"), F.col("__snippet")) & ~mentions_other(lowered, form)
     )
-    return matched.drop("__form", "__snippet")
+    return matched.drop("__form", "__snippet", "__word")
 
 
 def price_reports(products: DataFrame, hits: DataFrame, now: Column, n: int = REPORTS_PER_PRODUCT) -> DataFrame:

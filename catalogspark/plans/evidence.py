@@ -38,7 +38,7 @@ def _hits(t):
     # Position is unique inside a product so that "last hit wins" is well defined.
     position = F.col("l_orderkey") * 1000 + F.col("l_suppkey") * 10 + line
     scheme = F.when(F.col("l_suppkey") % 10 == 2, "http").otherwise("https")
-    return t.lineitem.select(
+    return t.offers.select(
         F.col("l_partkey").alias("id"), title.alias("title"), F.concat(named, F.lit(" "), text).alias("snippet"),
         F.concat(scheme, F.lit("://shop"), "l_suppkey", F.lit(".example/w/"), "l_partkey").alias("link"),
         F.when(F.col("l_returnflag") != "N", F.date_format("l_shipdate", "MMM d, yyyy")).alias("date"), position.alias("position"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.operators.facets import build_facets
+from catalogspark.session import dealt
 from catalogspark.sources.index import with_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,12 +33,17 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Documents for pattern-heavy work, over all cores."""
-        return self.documents
+        """Documents for pattern-heavy work."""
+        return dealt(self.documents)
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return self.pages
+        return dealt(self.pages)
+
+    @cached_property
+    def offers(self) -> DataFrame:
+        """Offers for pattern-heavy work."""
+        return dealt(self.lineitem)
 
     @cached_property
     def catalog(self) -> DataFrame:

@@ -67,7 +67,7 @@ _TOK = "regexp_extract_all(lower(strip_accents({0})), '[a-z0-9]+')"
 @query("text_match", f"""SELECT doc_id AS id FROM documents WHERE list_contains({_TOK.format('text')}, 'and')
  AND len(list_filter({_TOK.format('text')}, lambda x: starts_with(x, 'thn'))) > 0""")
 def _(t):
-    return tx.match_text(t.documents, "doc_id", [F.col("text")], "And thn")
+    return tx.match_text(t.texts, "doc_id", [F.col("text")], "And thn")
 
 
 def _bm25_sql(source: str, fields: list[tuple[str, float]], slots: list[tuple[str, bool]]) -> str:
@@ -92,7 +92,7 @@ _DOCS = "(SELECT doc_id AS id, source, text FROM documents)"
 @query("bm25_topk", f"""WITH {_bm25_sql(_DOCS, [('source', 8.0), ('text', 1.0)], [('and', False), ('thn', True)])}
  SELECT rank, id, round(score, 6) AS score FROM (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, * FROM scored) WHERE rank <= 24""")
 def _(t):
-    scored = tx.search_text(t.documents, "doc_id", {"source": (F.col("source"), 8.0), "text": (F.col("text"), 1.0)}, "And thn")
+    scored = tx.search_text(t.texts, "doc_id", {"source": (F.col("source"), 8.0), "text": (F.col("text"), 1.0)}, "And thn")
     page = se.page_of(scored, [F.round("score", 9).desc(), F.col("id").asc()])
     return page.select(F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 

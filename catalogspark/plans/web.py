@@ -105,14 +105,14 @@ def _(t):
 
 @query("page_facts")
 def _(t):
-    return ex.extract_facts(t.pages, "page_id", "html")
+    return ex.extract_facts(t.snapshots, "page_id", "html")
 
 
 @query("page_fact_counts", """SELECT CAST(page_id AS VARCHAR) AS page_id, len(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"')) AS links,
  len(regexp_extract_all(html, '<h1>')) AS h1s, len(regexp_extract_all(html, '<title>')) AS titles FROM pages""")
 def _(t):
     # The parser's result checked by an independent route.
-    facts = ex.extract_facts(t.pages, "page_id", "html")
+    facts = ex.extract_facts(t.snapshots, "page_id", "html")
     return facts.groupBy("page_id").agg(
         F.count_if(F.col("kind") == "link").alias("links"), F.count_if(F.col("kind") == "h1").alias("h1s"),
         F.count_if(F.col("kind") == "title").alias("titles"))

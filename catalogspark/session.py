@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Number of partitions that rows for pattern-heavy work are dealt to after the scan; unset, they stay as they were read.
+READ_PARTITIONS = "spark.catalogspark.readPartitions"
+
+
 def build_session(app: str = "catalogspark", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every job relies on; the master comes from spark-submit on a cluster."""
     builder = (
@@ -24,6 +28,12 @@ def build_session(app: str = "catalogspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the session states, for files of few large row groups; as read where it states none."""
+    n = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df if n is None else df.repartition(int(n))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``. A private one is made only when the setting is absent
     and the session runs in a single JVM, as in tests."""
