@@ -160,3 +160,17 @@ def test_mixing_odd_cases(docs):
     assert rows.count() == len(ODD) and rows.where("probability is null").count() == 0
     assert mixing.mixed(docs(ODD)).columns == docs(ODD).columns
     assert mixing.mixed(docs(ODD).limit(0)).count() == 0
+
+
+def test_packed_signatures_agree_as_counted():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, (4, neardup.PRECISE), dtype=np.uint64)
+    b = a.copy()
+    b[:, ::3] = rng.integers(0, 2**63, b[:, ::3].shape, dtype=np.uint64)
+    bits = lambda x: x >> np.uint64(64 - neardup.PLANES)
+    unlike = (bits(a) != bits(b)).sum(1)
+    words = neardup.PRECISE // 64
+    x = (neardup.packed(a) ^ neardup.packed(b)).reshape(4, neardup.PLANES, words)
+    assert [sum(bin(int(w) & (2**64 - 1)).count("1") for w in np.bitwise_or.reduce(row, axis=0)) for row in x] == unlike.tolist()
+    # Texts just at the limit pass but for six deviations; texts far below it do not.
+    assert neardup.least_agreement(0.8) < neardup.PRECISE * 0.8 and neardup.least_agreement(0.8) > neardup.PRECISE * 0.66
