@@ -13,7 +13,7 @@ every bucket each text meets one centre only. Links are verified on whole shingl
 that still hold several classes get new centres for a few rounds; pairs that are open even then (both in one bucket, in
 different classes) are met in a last join, after a filter on set sizes, on the number of shingles that other classes have
 at all and on the whole signature, and verified as well.
-No pair inside a class that is already known is emitted. The last filter's signatures are packed, three bits of each coordinate;
+No pair inside a class that is already known is emitted. The last filter's signatures are packed, two bits of each coordinate;
 it passes all but six deviations below the expected agreement, which loses a pair of similarity 0.8 with probability
 1e-9. What the first filters lose is met there again, so the loss is that of 20 bands of 4, 3e-5 for such a pair.
 
@@ -39,7 +39,7 @@ BANDS, ROWS, SIMILARITY = 20, 4, 0.8
 CENTRES = 2
 PRUNES = 3
 #: Coordinates of the last filter's signatures, bits kept of each, and how many deviations below the expected agreement pass.
-PRECISE, PLANES, DEVIATIONS = 384, 3, 6
+PRECISE, PLANES, DEVIATIONS = 1024, 2, 6
 
 
 def elements(words: np.ndarray, owner: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,22 +216,39 @@ def _precise(grams: DataFrame, k: int) -> DataFrame:
     return grams.select("id", "grams").mapInArrow(run, "id long, sig array<long>")
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id may be among ``ids``, by a filter of 2^25 bits at most, whatever the tables' size: rows that a join would
+    drop need not be dealt out. It errs on the side of keeping."""
+    def slot(h: Column) -> Column:
+        return F.pmod(h, F.lit(1 << 19))
+
+    def bit(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 19).bitwiseAND(63).cast("int")
+
+    h = F.xxhash64("id")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))
+    bits = ids.select("id").groupBy(slot(h).alias("__slot")).agg(F.bit_or(one).alias("__bits"))
+    held = F.call_function("shiftright", F.col("__bits"), bit(h)).bitwiseAND(1) == 1
+    return rows.join(F.broadcast(bits), slot(h) == F.col("__slot")).where(held).drop("__slot", "__bits")
+
+
 def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that reach ``similarity``, by the intersection of whole gram sets."""
-    left, right = (grams.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}")) for s in "ab")
+    """Pairs (a, b) that reach ``similarity``, by the intersection of whole gram sets. Only the sets of either side are moved."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    left, right = (_only(grams, pairs.select(F.col(s).alias("id"))).select(F.col("id").alias(s), F.col("grams").alias(f"g{s}")) for s in "ab")
     shared = F.size(F.array_intersect("ga", "gb"))
     total = F.size("ga") + F.size("gb")
     return pairs.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (total - shared)).select("a", "b")
 
 
-def _shareable(open_: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+def _shareable(open_: DataFrame, grams: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """(id, size, shareable): how many shingles of an open text occur in another class at all. Texts that could not reach
     ``similarity`` with anything, as too many of their shingles are their class's own, are left out."""
-    of = open_.select("id", "class").distinct().join(grams, "id")
-    placed = of.select("id", "class", F.explode("grams").alias("gram"))
+    of = open_.select("id", "class").distinct()
+    placed = of.join(_only(grams, of), "id").select("id", "class", F.explode("grams").alias("gram"))
     common = placed.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
     counted = placed.join(common, "gram").groupBy("id").agg(F.count("*").alias("shareable"))
-    return counted.join(of.select("id", F.size("grams").cast("long").alias("size")), "id").where(F.col("shareable") >= similarity * F.col("size"))
+    return counted.join(sizes, "id").where(F.col("shareable") >= similarity * F.col("size"))
 
 
 def follow(links: DataFrame) -> DataFrame:
@@ -285,8 +302,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     members = written(placed.join(shared, "bucket"), "members")
     # Whole shingle sets of the texts that share a bucket; no other text moves.
     needed = written(members.select("id").distinct().join(keys, "id"), "needed")
-    texts = _with_key(docs.join(needed.select("id"), "id", "left_semi")).join(needed, ["id", "key"], "left_semi").dropDuplicates(["id"])
+    texts = _with_key(_only(docs, needed)).join(needed, ["id", "key"], "left_semi").dropDuplicates(["id"])
     grams = written(gram_sets(texts, weights), "grams")
+    sizes = written(grams.select("id", F.size("grams").cast("long").alias("size")), "sizes")
     # The first centre of a bucket is its smallest id.
     star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_alike(_promising(star, brief, similarity), grams, similarity), "found")
@@ -307,9 +325,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     # Texts that share too little with other classes cannot have a link there and are not met.
     open_ = _open(members, found, CENTRES)
     for _ in range(PRUNES):  # without the texts left out, others share less
-        able = written(_shareable(open_, grams, similarity), "shareable")
+        able = written(_shareable(open_, grams, sizes, similarity), "shareable")
         open_ = open_.select("bucket", "id", "class", "main").join(able, "id")
-    precise = written(_precise(grams.join(able, "id", "left_semi"), PRECISE), "precise")
+    precise = written(_precise(_only(grams, able), PRECISE), "precise")
     open_ = written(open_.join(precise, "id").join(brief.select("id", "buckets"), "id"), "open")
     minor = open_.where("class <> main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", "sig", "size", "shareable", "buckets")])
     others = open_.select("bucket", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", "sig", "size", "shareable", "buckets")])
