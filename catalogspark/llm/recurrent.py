@@ -8,8 +8,8 @@ unknown word per unit. A document's state is carried through all of it, from the
 Counts cover every training token: a grouped aggregation with one row per word. The ``FREQUENT`` commonest words are sent
 to the tasks; counts of all others meet the documents in a join, so nothing that grows with the vocabulary is broadcast
 or collected. Training is data-parallel: in each round every task runs truncated backpropagation over its share of the
-training documents and the parameters are averaged by an aggregation; all training documents are visited once. The
-parameters have a fixed size. Words are told apart by 64-bit hashes.
+training documents and the parameters are averaged, as arrays in two steps; all training documents are visited once,
+to their last token. The parameters have a fixed size. Words are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts are one end; a null doc_id is not held out; without training documents nothing is
 known and the network is untrained; repeated rows are scored each; extra columns are ignored.
@@ -29,9 +29,11 @@ from catalogspark.llm.staging import written
 from catalogspark.llm.text_arrays import as_bytes, blocks, hash_spans, lowered, mix, spans
 
 FREQUENT = 100_000
-UNITS, RARE_UNITS, CLASSES, HIDDEN = 1024, 256, 32, 16
+UNITS, RARE_UNITS, CLASSES, HIDDEN = 1024, 256, 32, 24
 ROUNDS, WINDOW, LANES, RATE = 2, 32, 512, 0.01
 ROWS_AT_ONCE = 5_000
+#: Numbers of groups in which the tasks' parameters are averaged, one after the other.
+GROUPS = (64, 4)
 END = np.uint64(0x5DEECE66D1234567)
 
 
@@ -165,8 +167,10 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
 
 
-def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """log P(unit) from the states before it, and with ``grads`` the slope of the mean loss at the states."""
+def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """log P(unit) from the states before it, and with ``grads`` the slope of the mean loss (by ``weight``) at the states."""
+    if weight is None:
+        weight = np.full(len(ids), 1 / max(len(ids), 1), np.float32)
     size = UNITS // CLASSES
     cls, member = ids // size, ids % size
     lc = _log_softmax(h @ p["cls"] + p["cls_b"])
@@ -176,7 +180,7 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict
     if grads is not None:
         d = np.exp(lc)
         d[here, cls] -= 1
-        d /= len(ids)
+        d *= weight[:, None]
         grads["cls"] += h.T @ d
         grads["cls_b"] += d.sum(0)
         slope = d @ p["cls"].T
@@ -192,7 +196,7 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict
         if grads is not None:
             d = np.exp(lm)
             d[own, member[rows]] -= 1
-            d /= len(ids)
+            d *= weight[rows, None]
             grads["mem"][c] += h[rows].T @ d
             grads["mem_b"][c] += d.sum(0)
             slope[rows] += d @ p["mem"][c].T
@@ -208,8 +212,9 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.steps = 0
 
-    def window(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One update from ``ids`` (steps x lanes); returns the state that the next window goes on from."""
+    def window(self, ids: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """One update from ``ids`` (steps x lanes), of which only ``real`` ones count; returns the state that the next
+        window goes on from."""
         p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
         states, kept = [], []
         for row in ids:
@@ -219,7 +224,8 @@ class Trainer:
             h[row == 0] = 0  # after an end the next document begins
         lanes = ids.shape[1]
         before = np.concatenate(states)
-        _, slopes = output(p, before, ids.ravel(), g)
+        weight = None if real is None else (real.ravel() / max(int(real.sum()), 1)).astype(np.float32)
+        _, slopes = output(p, before, ids.ravel(), g, weight)
         dh = np.zeros_like(h)
         into = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
         for t in range(len(ids) - 1, -1, -1):
@@ -252,13 +258,37 @@ class Trainer:
     def read(self, units: np.ndarray) -> None:
         """One pass over the units of whole documents, dealt to lanes that run side by side."""
         lanes = int(min(LANES, max(8, len(units) // (WINDOW * 75))))
-        steps = len(units) // lanes
-        if not steps:
-            return
-        grid = units[:steps * lanes].reshape(lanes, steps).T
+        steps = -(-len(units) // lanes)
+        # The last lane is filled up with ends that do not count.
+        filled = np.zeros(steps * lanes, units.dtype)
+        filled[:len(units)] = units
+        grid, real = filled.reshape(lanes, steps).T, (np.arange(steps * lanes) < len(units)).reshape(lanes, steps).T
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, steps, WINDOW):
-            h = self.window(np.ascontiguousarray(grid[at:at + WINDOW]), h)
+            now = real[at:at + WINDOW]
+            h = self.window(np.ascontiguousarray(grid[at:at + WINDOW]), h, None if now.all() else now)
+
+
+def averaged(results: DataFrame, groups: int = GROUPS) -> tuple[float, np.ndarray] | None:
+    """Sum of the weights and weighted mean of the arrays of ``results`` (weight, params). Arrays are added within fixed groups
+    of tasks, then once more, so that what is shuffled is one array per task and the driver gets ``groups[-1]``."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = 0.0, None
+        for batch in batches:
+            for w, values in zip(batch.column("weight").to_pylist(), batch.column("params")):
+                part = values.values.to_numpy(zero_copy_only=False).astype(np.float64) * w
+                weight, total = weight + w, part if total is None else total + part
+        if total is not None:
+            mean = pa.array((total / weight).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.ListArray.from_arrays(pa.array([0, len(mean)], pa.int32()), mean)], ["weight", "params"])
+
+    for n in groups:
+        results = results.repartition(n).mapInArrow(add, "weight double, params array<float>")
+    rows = results.collect()  # at most as many arrays as the last number of groups
+    if not rows:
+        return None
+    weight = sum(r["weight"] for r in rows)
+    return weight, sum(np.array(r["params"], np.float64) * r["weight"] for r in rows) / weight
 
 
 def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
@@ -277,15 +307,12 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndar
                     trainer.read(shared.value.look(hashes, rare)[0])
                     tokens += len(hashes)
             if trainer:
-                values = pa.array([pack(trainer.p).tolist()], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), values], ["weight", "params"])
+                values = pa.array(pack(trainer.p))
+                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], ["weight", "params"])
 
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
-        results = part.mapInArrow(run, "weight double, params array<float>").select("weight", F.posexplode("params").alias("at", "v"))
-        rows = results.groupBy("at").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v")).toPandas()  # as many rows as parameters
-        if len(rows):
-            flat = flat.copy()
-            flat[rows["at"].to_numpy(int)] = rows["v"].to_numpy(np.float32)
+        mean = averaged(part.mapInArrow(run, "weight double, params array<float>"))
+        flat = flat if mean is None else mean[1].astype(np.float32)
     return flat
 
 

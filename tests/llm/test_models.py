@@ -147,3 +147,27 @@ def test_scores_add_up_to_one():
     assert np.exp(recurrent.output(p, h, np.arange(recurrent.UNITS))[0].astype(float)).sum() == pytest.approx(1, abs=1e-3)
     words = recurrent.Vocabulary(np.array([1, 2, 3], np.uint64), np.array([5, 2, 1]), 8, 3, np.full(recurrent.RARE_UNITS, 4.0), np.full(recurrent.RARE_UNITS, 2.0))
     assert words.rare_total[0] == 7.0  # (c1 + 1) + (c2 + 1) + 1
+
+
+def test_every_unit_is_trained_and_fill_does_not_count():
+    rng = np.random.default_rng(2)
+    flat = recurrent.untrained(np.ones(recurrent.UNITS))
+    # One unit more than full lanes: it must change the parameters, and filled places must not.
+    units = rng.integers(1, recurrent.UNITS, 8 * 5)
+    whole, longer = recurrent.Trainer(flat), recurrent.Trainer(flat)
+    whole.read(units)
+    longer.read(np.append(units, 7))
+    assert not np.allclose(recurrent.pack(whole.p), recurrent.pack(longer.p))
+    few = recurrent.Trainer(flat)
+    few.read(np.array([3]))
+    alone = recurrent.Trainer(flat)
+    alone.window(np.array([[3]]), np.zeros((1, recurrent.HIDDEN), np.float32))
+    assert np.allclose(recurrent.pack(few.p), recurrent.pack(alone.p), atol=1e-5)
+
+
+def test_two_level_average(spark):
+    rows = [(float(w), [float(w * i) for i in range(50)]) for w in range(1, 40)]
+    weight, mean = recurrent.averaged(spark.createDataFrame(rows, "weight double, params array<float>").repartition(9), (6, 2))
+    assert weight == sum(w for w, _ in rows)
+    assert np.allclose(mean, sum(np.array(v) * w for w, v in rows) / weight, rtol=1e-5)
+    assert recurrent.averaged(spark.createDataFrame([], "weight double, params array<float>")) is None
