@@ -183,6 +183,31 @@ def listing_items(links: DataFrame, id_col: str, sites: Sequence[SitePattern]) -
     return keyed.distinct()
 
 
+def chain_order(links: DataFrame) -> DataFrame:
+    """(node, head, place, looped) of the pages of chains ``links(node, next)``; ``next`` is null on a last page.
+
+    List ranking by pointer doubling: each round every page takes its pointer's pointer, so a chain of n pages needs log n
+    rounds of one equi join. ``place`` counts from 0 at the chain's head. Where several pages name one next page, the
+    smallest counts. Pages on a loop, or behind one, never meet a head: they are ``looped`` and have no place. Pages
+    that are only named, and never seen, are gaps: they end their chain and are not part of the result.
+    """
+    spark, folder = links.sparkSession, scratch_folder(links.sparkSession, "chain")
+    nodes = links.where("node is not null").select("node").distinct()
+    before = links.where("node is not null and next is not null").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("jump"))
+    state = nodes.join(before, "node", "left").select("node", "jump", F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("place"), F.coalesce("jump", "node").alias("head"))
+    n = nodes.count()
+    for step in range(n.bit_length() + 1):
+        state.write.parquet(f"{folder}/{step}")
+        state = spark.read.schema(state.schema).parquet(f"{folder}/{step}")
+        if state.where("jump is not null").isEmpty():
+            break
+        on = state.select(F.col("node").alias("jump"), F.col("jump").alias("__jump"), F.col("place").alias("__place"), F.col("head").alias("__head"))
+        state = state.join(on, "jump", "left").select(
+            "node", F.col("__jump").alias("jump"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"), F.coalesce("__head", "head").alias("head"))
+    looped = F.col("jump").isNotNull()
+    return state.select("node", F.when(~looped, F.col("head")).alias("head"), F.when(~looped, F.col("place")).alias("place"), looped.alias("looped"))
+
+
 def work_order(queue: DataFrame, kind: str = "kind", url: str = "url") -> DataFrame:
     """Add the processing rank of a queue entry: sitemaps, then listings, then products; order by (rank, url)."""
     rank = F.when(F.col(kind) == "sitemap", 0).when(F.col(kind) == "listing", 1).otherwise(2)

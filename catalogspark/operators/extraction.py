@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions.text import clean, label_key, norm_ref
-from catalogspark.functions.urls import url_key
 from catalogspark.operators.merge import first_by_priority
 from catalogspark.schema import COLUMNS, FACT_SCHEMA
 
@@ -28,6 +27,9 @@ _SIBLINGS = frozenset(("p", "span", "div"))
 _IMPLIED_END = {"p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"),
                 "th": ("td", "th"), "li": ("li",)}
 _CONTAINERS = frozenset("html body main article section div ul ol dl table form".split())
+#: Section of labelled facts that stand in the page's menus, side columns or footer and tell nothing of its product.
+OUTSIDE = "(outside the page's own content)"
+_OUTER, _SCOPED = frozenset(("nav", "aside", "footer")), frozenset(("spec", "pair", "h1", "description"))
 
 
 class _FactParser(HTMLParser):
@@ -41,11 +43,13 @@ class _FactParser(HTMLParser):
         self._label: dict[int, str] = {}
         self._row: list[str] = []
         self._section = ""
+        self._outside = 0
 
     def _add(self, kind: str, label: str, value: str, locator: str) -> None:
         label, value = " ".join(label.split()), " ".join(value.split())
         if value:
-            self.facts.append((kind, self._section, label, value, locator))
+            section = OUTSIDE if self._outside and kind in _SCOPED else self._section
+            self.facts.append((kind, section, label, value, locator))
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
         attrs = {k: v or "" for k, v in attributes}
@@ -74,6 +78,7 @@ class _FactParser(HTMLParser):
             wanted = tag in _CELLS or (
                 tag in _SIBLINGS and (depth in self._label or attrs.get("itemprop") == "description"))
             self._open.append((tag, [] if wanted else None, attrs))
+            self._outside += tag in _OUTER
 
     def _end_implied(self, tag: str) -> None:
         for i in range(len(self._open) - 1, -1, -1):
@@ -108,6 +113,7 @@ class _FactParser(HTMLParser):
         while len(self._open) > index:
             name, pieces, attrs = self._open.pop()
             self._close(name, " ".join("".join(pieces or ()).split()), attrs, len(self._open))
+            self._outside -= name in _OUTER
 
     def _close(self, tag: str, text: str, attrs: dict, depth: int) -> None:
         if tag in ("title", "h1"):
@@ -183,25 +189,26 @@ class FieldMap:
 
 
 # Printed labels and the record column each one fills, for every site.
-LABELS: dict[str, tuple[str, ...]] = {
-    "reference_number": ("reference", "reference number", "ref"),
-    "parent_model": ("collection",), "specific_model": ("model",), "type": ("gender",),
-    "made_in": ("country of origin",), "case_material": ("case material", "material of the case"),
-    "case_shape": ("case shape",), "case_finish": ("case finish",), "caseback": ("case back", "caseback"),
-    "diameter": ("diameter", "case diameter", "diameter of the case", "case size"),
-    "case_thickness": ("thickness", "case thickness", "height"),
-    "between_lugs": ("lug width", "between lugs", "lugs"), "lug_to_lug": ("lug to lug",),
-    "bezel_material": ("bezel material",), "bezel_color": ("bezel color",), "crystal": ("crystal", "glass"),
-    "water_resistance": ("water resistance", "waterproofness", "water resistant"), "weight": ("weight",),
-    "dial_color": ("dial color", "dial colour", "dial"), "numerals": ("hour markers", "numerals"),
-    "bracelet_material": ("strap material", "bracelet material", "bracelet", "strap"),
-    "bracelet_color": ("strap color", "strap colour"), "clasp_type": ("clasp", "buckle", "clasp type"),
-    "movement": ("movement", "movement type"), "caliber": ("caliber", "calibre"),
-    "power_reserve": ("power reserve",), "frequency": ("frequency", "vibrations"),
-    "jewels": ("jewels", "number of jewels"), "features": ("functions", "complications", "features"),
-    "price": ("price",), "currency": ("currency",), "year_introduced": ("year introduced",),
-}
-DEFAULT_MAPPING: tuple[FieldMap, ...] = tuple(FieldMap(label, f) for f, labels in LABELS.items() for label in labels)
+LABELS: tuple[tuple[str, str], ...] = (
+    ("reference", "reference_number"), ("reference number", "reference_number"), ("ref", "reference_number"), ("collection", "parent_model"),
+    ("model", "specific_model"), ("gender", "type"), ("country of origin", "made_in"), ("case material", "case_material"),
+    ("material of the case", "case_material"), ("case shape", "case_shape"), ("case finish", "case_finish"), ("case back", "caseback"),
+    ("caseback", "caseback"), ("diameter", "diameter"), ("case diameter", "diameter"), ("diameter of the case", "diameter"),
+    ("case size", "diameter"), ("thickness", "case_thickness"), ("case thickness", "case_thickness"), ("height", "case_thickness"),
+    ("lug width", "between_lugs"), ("between lugs", "between_lugs"), ("lugs", "between_lugs"), ("lug to lug", "lug_to_lug"),
+    ("bezel material", "bezel_material"), ("bezel color", "bezel_color"), ("crystal", "crystal"), ("glass", "crystal"),
+    ("water resistance", "water_resistance"), ("waterproofness", "water_resistance"), ("water resistant", "water_resistance"), ("weight", "weight"),
+    ("dial color", "dial_color"), ("dial colour", "dial_color"), ("dial", "dial_color"), ("hour markers", "numerals"), ("numerals", "numerals"),
+    ("strap material", "bracelet_material"), ("bracelet material", "bracelet_material"), ("bracelet", "bracelet_material"),
+    ("strap", "bracelet_material"), ("strap color", "bracelet_color"), ("strap colour", "bracelet_color"), ("clasp", "clasp_type"),
+    ("buckle", "clasp_type"), ("clasp type", "clasp_type"), ("movement", "movement"), ("movement type", "movement"), ("caliber", "caliber"),
+    ("calibre", "caliber"), ("power reserve", "power_reserve"), ("frequency", "frequency"), ("vibrations", "frequency"), ("jewels", "jewels"),
+    ("number of jewels", "jewels"), ("functions", "features"), ("complications", "features"), ("features", "features"), ("price", "price"),
+    ("currency", "currency"), ("year introduced", "year_introduced"),
+)
+# Facts that state themselves: the page's own meta, canonical and structured facts come under these labels.
+STATED: tuple[tuple[str, str], ...] = (("description", "description"), ("short description", "short_description"), ("image", "image_URL"))
+DEFAULT_MAPPING: tuple[FieldMap, ...] = tuple(FieldMap(label, column) for label, column in LABELS + STATED)
 
 
 def mapping_table(spark, mapping: Sequence[FieldMap] = DEFAULT_MAPPING) -> DataFrame:
@@ -232,21 +239,6 @@ def pivot_records(fields: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFr
     return fields.groupBy("page_id").agg(*values, located.alias("provenance"))
 
 
-def selected_product(pages: DataFrame, json_text: str, url: Column, reference: Column) -> DataFrame:
-    """JSON-LD products that are this page's own: same url, or no url and the same sku. Related products are out."""
-    nodes = F.coalesce(
-        F.try_variant_get(F.try_parse_json(json_text), "$['@graph']", "array<variant>"),
-        F.try_variant_get(F.try_parse_json(json_text), "$", "array<variant>"),
-        F.array(F.try_parse_json(json_text)),
-    )
-    rows = pages.withColumn("product", F.explode(nodes))
-    kind = F.try_variant_get("product", "$['@type']", "string")
-    link = F.coalesce(F.try_variant_get("product", "$.url", "string"), F.try_variant_get("product", "$['@id']", "string"))
-    sku = F.coalesce(F.try_variant_get("product", "$.sku", "string"), F.try_variant_get("product", "$.mpn", "string"))
-    own = (url_key(link) == url_key(url)) | (link.isNull() & (norm_ref(sku) == norm_ref(reference)))
-    return rows.where(F.contains(kind, F.lit("Product")) & F.coalesce(own, F.lit(False)))
-
-
 def single_offer(offers: DataFrame, keys: Sequence[str], price: str) -> DataFrame:
     """Price of a page with exactly one offer; several offers select none and are counted."""
     grouped = offers.groupBy(*keys).agg(F.count("*").alias("n_offers"), F.min(price).alias("__p"))

@@ -107,14 +107,21 @@ def split_chunks(df: DataFrame, keys: Sequence[str], position: Column, chunk: Co
     """Add ``out``, a finer chunk for the ordered operators: (chunk, part). Chunks of a key beyond ``rows`` rows are cut at
     the quantiles of the numeric ``position`` (mergeable sketches, one row per chunk), so a chunk's part holds about
     one ``parts``-th of its rows; rows at one and the same position stay together."""
-    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    keyed = df.withColumns({"__at": position, "__c": chunk})
-    group = F.struct(*keys, "__c").alias("__g")
-    large = keyed.groupBy(group).agg(F.count("*").alias("__n"), F.percentile_approx("__at", cuts, 10 * parts).alias("__cuts"))
-    large = large.where(F.col("__n") > rows).select("__g", "__cuts")
-    joined = keyed.withColumn("__g", F.struct(*keys, "__c")).join(large, "__g", "left")
-    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__at"))), F.lit(0))
-    return joined.select(*df.columns, F.struct(F.col("__c").alias("chunk"), part.alias("part")).alias(out))
+    keyed = df.withColumns({"__at": position, "__g": F.struct(*keys, chunk.alias("__c"))})
+    large = keyed.groupBy("__g").agg(F.count("*").alias("__n")).where(F.col("__n") > rows).select("__g")
+    # Only rows of large chunks are sketched.
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = keyed.join(large, "__g", "left_semi").groupBy("__g").agg(F.percentile_approx("__at", shares, 10 * parts).alias("__cuts"))
+    joined = keyed.join(cuts, "__g", "left")
+    part = F.when(F.col("__cuts").isNull(), 0).otherwise(_below(F.col("__cuts"), F.col("__at"), parts))
+    return joined.select(*df.columns, F.struct(F.col("__g.__c").alias("chunk"), part.alias("part")).alias(out))
+
+
+def _below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (fewer than ``most``) are below ``value``: binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(cuts)) & F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column) -> DataFrame:

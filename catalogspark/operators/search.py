@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.text import compact, fold
 from catalogspark.operators.facets import facet_and
+from catalogspark.session import scratch_folder
 
 PAGE_SIZE = 24
 RELAX_KEPT = 3
@@ -79,10 +80,10 @@ def reference_predicate(query: str, key: Column) -> Column:
     return F.coalesce(wanted.rlike("[0-9]") & key.startswith(wanted), F.lit(False))
 
 
-def rank_tier(query: str, reference_key: Column, model: Column, collection: Column) -> Column:
+def rank_tier(query: Column | str, reference_key: Column, model: Column, collection: Column) -> Column:
     """0 exact reference, 1 reference prefix, 2 exact model or collection, 3 the rest."""
-    wanted = compact(F.lit(query))
-    folded = fold(F.lit(query.strip()))
+    query = F.lit(query) if isinstance(query, str) else query
+    wanted, folded = compact(query), fold(F.trim(query))
     return (
         F.when(reference_key == wanted, 0).when(reference_key.startswith(wanted), 1)
         .when((fold(model) == folded) | (F.lower(collection) == folded), 2).otherwise(3)
@@ -106,12 +107,50 @@ def sort_order(sort: str) -> list[Column]:
     return [*orders[sort], F.col("id").asc()]
 
 
+@dataclass(frozen=True)
+class Ranking:
+    """Rows in the order of a search, stored in ranges of that order with the number of rows in each. Any page reads the
+    ranges it lies in and nothing else, however deep it is."""
+
+    rows: DataFrame
+    order: tuple[Column, ...]
+    counts: tuple[tuple[int, int], ...]
+
+    @staticmethod
+    def build(df: DataFrame, order: Sequence[Column], path: str) -> Ranking:
+        """One sort by ranges. The order must end with a key, so that equal values are split over ranges as well."""
+        ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+        ranged.write.partitionBy("__part").parquet(path)
+        rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
+        counts = rows.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # one number per range
+        return Ranking(rows, tuple(order), tuple((r["__part"], r["n"]) for r in counts))
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.counts)
+
+    def page(self, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+        """One page with its ``rank``."""
+        first, before, touched = (page - 1) * size, 0, {}
+        for part, n in self.counts:
+            if before < first + size and before + n > first:
+                touched[part] = before
+            before += n
+        here = self.rows.where(F.col("__part").isin(*touched) if touched else F.lit(False))
+        offset = F.lit(0)
+        for part, n in touched.items():
+            offset = F.when(F.col("__part") == part, n).otherwise(offset)
+        ranked = here.withColumn("rank", F.row_number().over(Window.partitionBy("__part").orderBy(*self.order)) + offset)
+        return ranked.where(F.col("rank").between(first + 1, first + size)).drop("__part")
+
+
 def page_of(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page with its rank. The sort is a distributed top-k; only the page's rows meet in one task."""
-    first = (page - 1) * size
-    rows = df.orderBy(*order).limit(first + size)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked.where(F.col("rank") > first)
+    """One page with its rank. The first page is a distributed top-k, so only its own rows meet in one task; a later one is
+    read from a ``Ranking`` in the checkpoint folder. Keep the ranking where several pages are wanted."""
+    if page > 1:
+        return Ranking.build(df, order, scratch_folder(df.sparkSession, "ranking")).page(page, size)
+    rows = df.orderBy(*order).limit(size)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def page_after(df: DataFrame, order: Sequence[Column], after: Column, size: int = PAGE_SIZE) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.ordered import top_per_key
+
 from catalogspark.functions.records import present
 
 
@@ -125,3 +127,12 @@ def invariants(df: DataFrame, checks: Mapping[str, tuple[Column, Column]]) -> Da
         for i, n in enumerate(names)
     ])
     return wide.select(F.inline(rows))
+
+
+def first_values(df: DataFrame, keys: Sequence[str], value: str, n: int, out: str, separator: str = "; ") -> DataFrame:
+    """(keys, ``out``, n_values): the first ``n`` distinct values per key joined in order, and how many there are. Of any
+    key at most ``n`` values are held together, whatever its number."""
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    first = top_per_key(distinct, keys, [F.col(value).asc()], n).groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list(value)), separator).alias(out))
+    return first.join(distinct.groupBy(*keys).agg(F.count("*").alias("n_values")), keys)

@@ -10,6 +10,7 @@ from catalogspark.operators import evidence as ev
 from catalogspark.operators import merge as mg
 from catalogspark.operators import quality as ql
 from catalogspark.operators import summary as sm
+from catalogspark.operators.normalise import diameter_eligible, watch_kind
 from catalogspark.operators.ordered import upper_median
 from catalogspark.plans.registry import CATALOG, FACETS, PRICES, query
 from catalogspark.sources import index as ix
@@ -119,14 +120,16 @@ def _(t):
     return t.catalog.select("id", classify_segment("model", _SEGMENTS).alias("segment"))
 
 
-@query("insights_gs", f"""WITH {CATALOG}, rows AS (SELECT brand, {_SEGMENT_SQL} AS segment, CASE WHEN collection <> 'SMALL' THEN diameter END AS m,
+@query("insights_gs", f"""WITH {CATALOG}, rows AS (SELECT brand, {_SEGMENT_SQL} AS segment, CASE WHEN collection NOT IN ('SMALL', 'PROMO') THEN diameter END AS m,
  contains(model, 'red')::INT AS g, model FROM catalog)
  SELECT CASE WHEN grouping_id(brand, segment) = 3 THEN 'overall' WHEN grouping_id(brand, segment) = 1 THEN 'brand' ELSE 'segment' END AS scope,
  coalesce(brand, segment, 'all') AS name, count(*) AS n, count(m) AS measured, round(avg(m), 6) AS mean_measure, count(*) - count(m) AS excluded,
  CAST(sum(g) AS BIGINT) AS mentions, count(DISTINCT model) AS calibers FROM rows GROUP BY GROUPING SETS ((), (brand), (segment))""")
 def _(t):
     rows = t.catalog.withColumn("segment", classify_segment("model", _SEGMENTS))
-    return sm.insights(rows, "brand", "segment", "diameter", F.col("collection") != "SMALL", F.col("model").contains("red"), "model")
+    kind = watch_kind(F.when(F.col("collection") == "SMALL", "Pocket watch").otherwise("Watch"))
+    display = F.when(F.col("collection") == "PROMO", F.lit("Diagonal 30 mm"))
+    return sm.insights(rows, "brand", "segment", "diameter", diameter_eligible(kind, display), F.col("model").contains("red"), "model")
 
 
 @query("catalog_stats", f"""WITH {CATALOG} SELECT count(*) AS records, count(DISTINCT brand || '|' || collection) AS families,
@@ -249,3 +252,9 @@ def _(t):
     rank = F.when(position > 0, position).otherwise(3).cast("int")
     rows = mg.curated_order(t.catalog, "brand", rank, F.col("collection") != "PROMO", "id", F.floor(F.col("id") / 100_000))
     return rows.select("id", "round", "brand_rank")
+
+
+@query("first_values", """WITH v AS (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS m FROM lineitem) SELECT l_suppkey, string_agg(m, '; ' ORDER BY m) FILTER (WHERE k <= 3) AS days, count(*) AS n_values
+ FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY m) AS k FROM v) GROUP BY 1""")
+def _(t):
+    return sm.first_values(t.lineitem.select("l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")), ["l_suppkey"], "day", 3, "days")

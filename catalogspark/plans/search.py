@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalogspark.operators import facets as fc
 from catalogspark.operators import rules as rl
 from catalogspark.operators import search as se
+from catalogspark.operators import search_many as sm
 from catalogspark.operators import text_search as tx
+from catalogspark.operators.annotate import annotate_queries
 from catalogspark.plans.registry import CATALOG, FACETS, PRICES, query
 
 WORDS = ["red", "blue"]
@@ -195,6 +197,12 @@ def _(t):
     return page.select(F.col("rank").cast("long").alias("rank"), "id")
 
 
+@query("page_seven", f"""WITH {CATALOG} SELECT row_number() OVER (ORDER BY diameter DESC NULLS LAST, id) AS rank, id, diameter FROM catalog QUALIFY rank BETWEEN 145 AND 168""")
+def _(t):
+    page = se.page_of(t.catalog.select("id", "diameter"), se.sort_order("diameter-desc"), page=7)
+    return page.select(F.col("rank").cast("long").alias("rank"), "id", "diameter")
+
+
 @query("page_keyset", f"""WITH {CATALOG} SELECT id, diameter FROM catalog WHERE (diameter, id) > (20, 100) AND diameter IS NOT NULL
  ORDER BY diameter, id LIMIT 24""")
 def _(t):
@@ -217,10 +225,8 @@ def _(t):
 @query("reversed_ranges", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'range minimum exceeds maximum' AS error
  FROM lineitem WHERE l_quantity > l_extendedprice / 1000""")
 def _(t):
-    spec = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("low"),
-                             (F.col("l_extendedprice") / 1000).alias("high"))
-    error = F.when(F.col("low") > F.col("high"), "range minimum exceeds maximum")
-    return spec.withColumn("error", error).where("error is not null").drop("low", "high")
+    bounds = F.create_map(F.lit("range.min"), F.col("l_quantity").cast("double"), F.lit("range.lt"), (F.col("l_extendedprice") / 1000).cast("double"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(sm.spec_errors(bounds)).alias("error"))
 
 
 @query("suggest_all", f"""WITH {CATALOG}, found AS (SELECT * FROM catalog WHERE lower(brand) LIKE 'brand#1%'),
@@ -239,11 +245,12 @@ def _(t):
     return out.select("grp", F.col("rank").cast("long").alias("rank"), "label")
 
 
-@query("suggest_groups", f"""WITH {CATALOG} SELECT brand, collection, count(*) AS n FROM catalog WHERE reference_key LIKE 'sm%'
- GROUP BY 1, 2 ORDER BY n DESC, collection, brand LIMIT 3""")
+@query("suggest_groups", f"""WITH {CATALOG} SELECT row_number() OVER (ORDER BY count(*) DESC, collection, brand) AS rank, brand || ' ' || collection AS label
+ FROM catalog WHERE reference_key LIKE 'sm%' GROUP BY brand, collection QUALIFY rank <= 3""")
 def _(t):
-    rows = t.catalog.where(F.col("reference_key").startswith("sm")).groupBy("brand", "collection").agg(F.count("*").alias("n"))
-    return rows.orderBy(F.col("n").desc(), "collection", "brand").limit(3)
+    found = t.catalog.where(F.col("reference_key").startswith("sm")).withColumns({"tier": F.lit(1), "score": F.lit(None).cast("double")})
+    out = se.suggest(t.catalog.select("brand").distinct(), found, "sm", {}).where(F.col("grp") == "Collections")
+    return out.select(F.col("rank").cast("long").alias("rank"), "label")
 
 
 _RELAX = [("brand", "brand IN ('Brand#7','Brand#8')"), ("collection", "collection = 'LARGE'"),
@@ -285,11 +292,16 @@ def _(t):
     return rl.match_rules(t.catalog, rules, _fields()).select("id")
 
 
+@query("rule_equals", f"""WITH {CATALOG} SELECT id FROM catalog WHERE lower(model) = 'hot ring'""")
+def _(t):
+    return rl.match_rules(t.catalog, [rl.Rule("model", "equals", "Hot RING")], _fields()).select("id")
+
+
 @query("rule_text", f"""WITH {CATALOG} SELECT id FROM catalog WHERE lower(model) LIKE '%ring%' AND lower(model) NOT LIKE '%red%'
- AND lower(reference) LIKE 'la%'""")
+ AND lower(reference) LIKE '%la%'""")
 def _(t):
     rules = [rl.Rule("model", "contains", "RING"), rl.Rule("model", "excludes", "Red"), rl.Rule("reference", "contains", "la")]
-    return rl.match_rules(t.catalog, rules, _fields()).where(F.lower("reference").startswith("la")).select("id")
+    return rl.match_rules(t.catalog, rules, _fields()).select("id")
 
 
 @query("rule_price", f"""WITH {PRICES} SELECT id, source, currency, amount FROM prices WHERE amount <= 7000 AND currency = 'USD'""")
@@ -348,3 +360,57 @@ def _(t):
     found = asked.join(bins, "brand").where("diameter <= max_diameter").groupBy("brand", "max_diameter").agg(F.sum("n").alias("n"))
     joined = specs.join(found, ["brand", "max_diameter"], "left")
     return joined.select("spec", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_WORDS_OF = {"brand": [f"Brand#{i}" for i in range(1, 26)], "collection": _TYPES, "complication": ["gear", "ring", "bolt", "widget"]}
+
+
+def _asked(t):
+    """One search text per customer, read by the annotator."""
+    brand, kind = F.concat(F.lit("Brand#"), 1 + F.col("c_nationkey") % 25), F.col("c_custkey") % 5
+    limit = 5 + F.col("c_nationkey")
+    text = (F.when(kind == 0, F.concat(F.lit("Show me "), F.lower(F.element_at(F.array(*map(F.lit, _TYPES)), (1 + F.col("c_custkey") % 6).cast("int"))),
+                                       F.lit(" "), brand, F.lit(" watches under "), limit, F.lit("mm")))
+            .when(kind == 1, F.concat(brand, F.lit(" gear over 20mm"))).when(kind == 2, "watches below USD 2k")
+            .when(kind == 3, F.concat(F.lit("Red "), brand)).otherwise("LA0001"))
+    return annotate_queries(t.customer.select(F.col("c_custkey").alias("spec"), text.alias("q")), "q", _WORDS_OF)
+
+
+_SPECS = f"""WITH {CATALOG}, {PRICES}, specs AS (SELECT c_custkey AS spec, c_custkey % 5 AS kind, 'Brand#' || (1 + c_nationkey % 25) AS brand,
+  list_extract({_TYPES}, 1 + c_custkey % 6) AS type, 5 + c_nationkey AS mm FROM customer),
+ priced AS (SELECT c.*, p.amount AS price FROM catalog c LEFT JOIN prices p ON p.id = c.id AND p.source = 'official_retail' AND p.currency = 'USD'),
+ answered AS (SELECT s.spec, c.id, CASE WHEN kind = 4 THEN CASE WHEN c.reference_key = 'la0001' THEN 0 ELSE 1 END ELSE 3 END AS tier, c.price, kind >= 3 AS scored
+ FROM specs s JOIN priced c ON CASE kind WHEN 0 THEN c.brand = s.brand AND c.collection = s.type AND c.diameter < s.mm
+  WHEN 1 THEN c.brand = s.brand AND list_contains(string_split(c.model, ' '), 'gear') AND c.diameter > 20 WHEN 2 THEN c.price < 2000
+  WHEN 3 THEN c.brand = s.brand AND list_contains(string_split(c.model, ' '), 'red') ELSE c.reference_key LIKE 'la0001%' END)"""
+
+
+def _answered(t):
+    fields = {"identity": F.concat_ws(" ", "brand", "collection", "model"), "reference_key": F.col("reference_key")}
+    index = tx.build_postings(t.catalog, "id", fields), tx.build_doc_stats(t.catalog, "id", fields)
+    return sm.search_specs(t.catalog, t.facets, t.prices, _asked(t), {"diameter": F.col("diameter")}, index)
+
+
+@query("search_specs", f"{_SPECS} SELECT spec, id, tier, price, scored FROM answered")
+def _(t):
+    return _answered(t).select("spec", "id", "tier", "price", F.col("score").isNotNull().alias("scored"))
+
+
+@query("search_specs_pages", f"""{_SPECS} SELECT spec, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY spec ORDER BY tier, id) AS rank FROM answered
+ WHERE spec % 5 < 3) WHERE rank <= 24""")
+def _(t):
+    # Requests without a text: their order is known to the oracle as well.
+    found = _answered(t).where(F.col("spec") % 5 < 3)
+    return sm.first_pages(found).select("spec", F.col("rank").cast("long").alias("rank"), "id")
+
+
+@query("search_specs_scores", f"""WITH {CATALOG}, {_bm25_sql('catalog', _ID_FIELDS, [('large', False), ('gea', True)])}
+ SELECT n.n_nationkey AS spec, id, round(score, 6) AS score FROM scored, nation n""")
+def _(t):
+    fields = {"identity": F.concat_ws(" ", "brand", "collection", "model"), "reference_key": F.col("reference_key")}
+    specs = t.nation.select(F.col("n_nationkey").alias("spec"), F.lit(None).cast("map<string,array<string>>").alias("facets"),
+                            F.lit(None).cast("map<string,double>").alias("bounds"), F.lit(None).cast("string").alias("currency"), F.lit(" Large gea").alias("rest"))
+    index = tx.build_postings(t.catalog, "id", fields), tx.build_doc_stats(t.catalog, "id", fields)
+    found = sm.search_specs(t.catalog, t.facets, t.prices, specs, {"diameter": F.col("diameter")}, index)
+    return found.select("spec", "id", F.round("score", 6).alias("score"))

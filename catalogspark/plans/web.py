@@ -9,7 +9,9 @@ from catalogspark.functions.text import html_text
 from catalogspark.operators import crawl as cr
 from catalogspark.operators import evidence as ev
 from catalogspark.operators import extraction as ex
+from catalogspark.operators import json_graph as jg
 from catalogspark.plans.registry import query
+from catalogspark.sources import readers as rd
 
 SITES = (
     ur.SitePattern("commercial", r"(?:[a-z0-9-]+\.)*example\.com", r"/[a-z]{2}/\d{3,}(?:\.html)?/?", (r"/[a-z]{2}/\d{1,2}/?",), r"/(\d{3,})(?:\.html)?/?$"),
@@ -19,12 +21,14 @@ _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
-@query("snapshot_hash", "SELECT page_id, sha256(html) AS sha256, true AS intact FROM pages")
+@query("snapshot_hash", """SELECT page_id, sha256(html) AS sha256, CASE WHEN page_id % 7 = 0 THEN 'missing body' WHEN page_id % 5 = 0 THEN 'hash mismatch' END AS reason FROM pages""")
 def _(t):
-    digest = F.sha2("html", 256)
-    manifest = t.pages.select("page_id", digest.alias("declared"))
-    joined = t.pages.select("page_id", digest.alias("sha256")).join(manifest, "page_id")
-    return joined.select("page_id", "sha256", (F.col("sha256") == F.col("declared")).alias("intact"))
+    # Every seventh body was never stored, every fifth was cut off after it was named.
+    manifest = t.pages.select("page_id", F.sha2("html", 256).alias("sha256"))
+    stored = F.when(F.col("page_id") % 5 == 0, F.left("html", F.length("html") - 1)).otherwise(F.col("html"))
+    bodies = t.pages.where("page_id % 7 <> 0").select(F.sha2("html", 256).alias("sha256"), F.sha2(stored, 256).alias("actual"))
+    verified, rejected = rd.verify_bodies(manifest, bodies)
+    return verified.select("page_id", "sha256", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("page_id", "sha256", "reason"))
 
 
 @query("html_complete", """SELECT page_id, NOT contains(html, '[Truncated]') AND ends_with(rtrim(html), '</html>') AS complete FROM pages""")
@@ -55,10 +59,11 @@ def _(t):
     return t.snapshots.select("page_id", ur.is_safe_link(link).alias("safe"))
 
 
-@query("block_pages", """SELECT page_id, contains(lower(substr(b, 1, 6000)), '<title>just a moment') OR length(html) < 2000 AS blocked
- FROM (SELECT page_id, html, CASE WHEN contains(url, 'm.') THEN replace(html, '<title>', '<title>Just a moment ') ELSE html END AS b FROM pages)""")
+@query("block_pages", """SELECT page_id, contains(lower(b), '<title>just a moment') OR contains(lower(b), 'verify you are human') OR length(html) < 2000 AS blocked
+ FROM (SELECT page_id, html, CASE WHEN contains(url, 'm.') THEN replace(html, '<title>', '<title>Just a moment ') WHEN page_id % 3 = 0 THEN html || 'Verify you are HUMAN' ELSE html END AS b FROM pages)""")
 def _(t):
-    body = F.when(F.col("url").contains("m."), F.replace("html", F.lit("<title>"), F.lit("<title>Just a moment "))).otherwise(F.col("html"))
+    body = F.when(F.col("url").contains("m."), F.replace("html", F.lit("<title>"), F.lit("<title>Just a moment "))).when(
+        F.col("page_id") % 3 == 0, F.concat("html", F.lit("Verify you are HUMAN"))).otherwise(F.col("html"))  # also at the very end of a page
     status = F.when(F.length("html") < 2000, 403).otherwise(200)
     return t.snapshots.select("page_id", cr.is_blocked(body, status).alias("blocked"))
 
@@ -93,6 +98,36 @@ def _(t):
     return cr.listing_items(links, "page_id", _LINK_SITES)
 
 
+@query("listing_chain", """SELECT page_id AS node, CASE WHEN NOT looped THEN page_id - page_id % 10 END AS head, CASE WHEN NOT looped THEN page_id % 10 END AS place, looped
+ FROM (SELECT page_id, (page_id // 10) % 4 = 3 AND (page_id - page_id % 10 + 9) IN (SELECT page_id FROM pages) AS looped FROM pages)""")
+def _(t):
+    # Listings of ten pages each; every fourth one names its first page after its last.
+    page = F.col("page_id")
+    following = F.when(page % 10 < 9, page + 1).when(F.floor(page / 10) % 4 == 3, page - 9)
+    return cr.chain_order(t.pages.select(page.alias("node"), following.alias("next")))
+
+
+@query("json_walk", """SELECT page_id, unnest(['$', '$.props', '$.props.list[1]', '$.props.list[1].in']) AS path, unnest(['', 'props', 'list', 'in']) AS key,
+ unnest(['top', NULL, 'a', 'b']) AS kind, unnest([NULL, NULL, page_id, 1]) AS n FROM pages""")
+def _(t):
+    body = F.concat(F.lit('{"props":{"list":['), "page_id", F.lit(',{"kind":"a","n":'), "page_id", F.lit(',"in":{"kind":"b","n":1}}]},"kind":"top"}'))
+    nodes = jg.json_walk(t.pages.select("page_id", body.alias("body")), ["page_id"], "body")
+    return nodes.select("page_id", "path", "key", F.try_variant_get("node", "$.kind", "string").alias("kind"), F.try_variant_get("node", "$.n", "long").alias("n"))
+
+
+@query("own_products", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'nested' ELSE 'graph' END AS name, CAST(page_id AS DOUBLE) AS price FROM pages WHERE page_id % 3 < 2""")
+def _(t):
+    # A third of the pages nests its product with a relative address, a third describes it in a graph, the rest has related products only.
+    product = F.concat(F.lit('"@type":["Thing","Product"],"name":"'), F.when(F.col("page_id") % 3 == 0, "nested").otherwise("graph"), F.lit('","offers":'))
+    price = F.concat(F.lit('{"@type":"Offer","@id":"#o","price":'), "page_id", F.lit("}"))
+    nested = F.concat(F.lit('{"@type":"WebPage","mainEntity":{"url":"?a=1",'), product, price, F.lit("}}"))
+    graph = F.concat(F.lit('{"@graph":[{"@type":"ProductGroup","url":"?"},{"@id":"#p",'), product, F.lit('{"@id":"#o"}},'), price, F.lit("]}"))
+    related = F.lit('[{"@type":"Product","url":"/other","name":"x"},{"@type":"ProductGroup","url":"?","name":"y"}]')
+    body = F.when(F.col("page_id") % 3 == 0, nested).when(F.col("page_id") % 3 == 1, graph).otherwise(related)
+    own = jg.own_products(t.pages.select("page_id", "url", F.lit(None).cast("string").alias("reference"), body.alias("body")), "body")
+    return own.select("page_id", F.try_variant_get("product", "$.name", "string").alias("name"), F.try_variant_get("offers", "$.price", "double").alias("price"))
+
+
 @query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def _(t):
     return t.snapshots.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))

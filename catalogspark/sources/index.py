@@ -47,7 +47,10 @@ class SearchIndex:
             "source", "currency", "amount", "id").write.mode("overwrite").parquet(f"{path}/prices")
         self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(
             "overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        spark = self.products.sparkSession
+        lengths = spark.read.parquet(f"{path}/postings").groupBy("id").agg(F.sum("tf").cast("int").alias("length"))
+        ids = spark.read.parquet(f"{path}/products").select("id")
+        ids.join(lengths, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length")).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
     @staticmethod
     def read(spark, path: str) -> SearchIndex:

@@ -41,11 +41,16 @@ def read_snapshots(spark: SparkSession, folder: str, manifest: DataFrame) -> tup
     (url, sha256, fetched_at) says which are expected. A missing or altered body is rejected."""
     files = spark.read.format("binaryFile").load(folder).select(
         F.regexp_extract("path", "([^/]+)$", 1).alias("sha256"), F.sha2("content", 256).alias("actual"), "content")
-    joined = manifest.join(files, "sha256", "left")
+    return verify_bodies(manifest, files)
+
+
+def verify_bodies(manifest: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verified, rejected) manifest rows by ``bodies`` (sha256 as named, actual, ...): the latter with the reason."""
+    joined = manifest.join(bodies, "sha256", "left")
     intact = F.coalesce(F.col("actual") == F.col("sha256"), F.lit(False))
     reason = F.when(F.col("actual").isNull(), "missing body").otherwise("hash mismatch")
     verified = joined.where(intact).drop("actual")
-    return verified, joined.where(~intact).select("url", "sha256", reason.alias("reason"))
+    return verified, joined.where(~intact).select(*manifest.columns, reason.alias("reason"))
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

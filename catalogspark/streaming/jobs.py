@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,43 +12,64 @@ from catalogspark.sources.writers import overwrite_partitions
 from catalogspark.streaming import log
 
 
-def _batch_dirs(spark: SparkSession, path: str) -> list[int]:
-    """Generations already written under ``path``, read through Hadoop's file system so any storage works."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(root)]
-    done = [n for n in names if n.startswith("gen=") and files.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[4:]) for n in done)
+BUCKETS = 64
 
 
-def merge_queue(path: str):
-    """foreachBatch sink: insert new work, move known work to its latest status.
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table under ``path`` with its partition columns; None before anything was written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
-    Each micro-batch writes a new generation of the table from the newest earlier one. Replaying a batch rebuilds
-    the same generation, so a restart neither loses nor repeats an update.
+
+def _newest(table: DataFrame, gens: Column) -> DataFrame:
+    """Rows of each bucket's newest generation among ``gens``. Which ones these are is read from the partition columns;
+    the driver sees one pair per bucket, and only those partitions are scanned."""
+    pairs = table.where(gens).groupBy("bucket").agg(F.max("gen").alias("gen")).collect()
+    return table.where(F.struct("bucket", "gen").isin([F.struct(F.lit(r["bucket"]), F.lit(r["gen"])) for r in pairs]) if pairs else F.lit(False))
+
+
+def merge_latest(path: str, keys: list[str], order: list[str], values: list[str], buckets: int = BUCKETS):
+    """foreachBatch sink: upsert by key, the latest row by ``order`` wins.
+
+    The table is cut into buckets by a hash of the key. A micro-batch reads the newest generation of the buckets that it
+    touches and writes those buckets anew, as its own generation; all other files stay as they are. A replayed batch
+    starts from the same earlier generations and replaces its own, so a restart neither loses nor repeats an
+    update. The commit is recorded when the rows are written; readers look at recorded generations only.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = [g for g in _batch_dirs(spark, path) if g < batch_id]
-        changes = batch.select("key", "status", "ts", "event_id")
-        if older:
-            changes = changes.unionByName(spark.read.parquet(f"{path}/gen={older[-1]}"))
-        merged = latest_state(changes, ["key"], ["ts", "event_id"], ["status", "ts", "event_id"])
-        merged.write.mode("overwrite").parquet(f"{path}/gen={batch_id}")
+        columns = list(dict.fromkeys([*keys, *order, *values]))
+        changes = batch.select(*columns).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        known = _stored(spark, f"{path}/rows")
+        if known is not None and touched:
+            older = _newest(known.where(F.col("bucket").isin(touched)), F.col("gen") < batch_id)
+            changes = changes.unionByName(older.select(*columns, "bucket"))
+        merged = latest_state(changes, ["bucket", *keys], order, [c for c in columns if c not in keys])
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/gen={batch_id}")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/commits/gen={batch_id}")
 
     return apply
 
 
-def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/gen={_batch_dirs(spark, path)[-1]}")
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """Current rows of a table that ``merge_latest`` keeps."""
+    commits = [r["gen"] for r in spark.read.parquet(f"{path}/commits").select("gen").distinct().collect()]  # one number per batch
+    return _newest(spark.read.parquet(f"{path}/rows"), F.col("gen").isin(commits)).drop("bucket", "gen")
 
 
 def start_queue(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(merge_queue(path)).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    """Work queue: new work is inserted, known work moves to its latest status."""
+    sink = merge_latest(path, ["key"], ["ts", "event_id"], ["status"])
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_queue(spark: SparkSession, path: str) -> DataFrame:
+    return read_latest(spark, path)
 
 
 def start_import(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -65,17 +87,19 @@ def start_import(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 def read_imports(spark: SparkSession, path: str) -> DataFrame:
     """The catalog as imported: per dataset the latest capture that has reached its declared total. A capture that is
-    still arriving is not served, and a dataset never mixes two captures."""
+    still arriving is not served, repeated rows count once, and a dataset never mixes two captures."""
     rows = spark.read.parquet(path)
-    arrived = rows.groupBy("dataset", "capture").agg(F.count("*").alias("n"), F.max("declared").alias("total"))
+    arrived = rows.groupBy("dataset", "capture").agg(F.count_distinct("id").alias("n"), F.max("declared").alias("total"))
     latest = arrived.where(F.col("n") >= F.col("total")).groupBy("dataset").agg(F.max("capture").alias("capture"))
     return rows.join(latest, ["dataset", "capture"], "left_semi").drop("batch")
 
 
 def start_circuits(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch appends the hosts whose state it changed; a replayed batch replaces its own rows."""
+    """Each micro-batch merges the hosts whose state it changed into the table of current circuits."""
+    sink = merge_latest(path, ["key"], ["batch"], ["reason", "until_us", "openings"])
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        overwrite_partitions(batch.withColumn("batch", F.lit(batch_id)), path, "batch")
+        sink(batch.withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
 
     state = log.circuit_state(log.event_time(stream), "key", ["ts", "event_id"])
     return state.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
@@ -83,9 +107,8 @@ def start_circuits(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 
 def read_circuits(spark: SparkSession, path: str) -> DataFrame:
-    """Current circuit per host: the state of the last batch that changed it."""
-    rows = spark.read.parquet(path)
-    return latest_state(rows, ["key"], ["batch"], ["reason", "until_us", "openings"])
+    """Current circuit per host."""
+    return read_latest(spark, path).drop("batch")
 
 
 def rate_stream(stream: DataFrame, key: str = "key", period: str = "1 minute",

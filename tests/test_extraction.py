@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from catalogspark.operators import extraction as ex
+from catalogspark.operators.json_graph import json_walk, own_products
 
 URL, OTHER = "https://www.shop.example/watches/m1-0001", "https://www.shop.example/watches/m1-0002"
 
@@ -59,9 +60,9 @@ def test_site_mapping_overrides(spark):
 
 
 def products(spark, data):
-    df = spark.createDataFrame([(URL, "m1-0001", json.dumps(data))], "url string, reference string, body string")
-    out = ex.selected_product(df, "body", F.col("url"), F.col("reference"))
-    return [r[0] for r in out.select(F.try_variant_get("product", "$.name", "string")).collect()]
+    df = spark.createDataFrame([(1, URL, "m1-0001", json.dumps(data))], "page_id int, url string, reference string, body string")
+    out = own_products(df, "body")
+    return sorted(r[0] for r in out.select(F.try_variant_get("product", "$.name", "string")).collect())
 
 
 def test_related_products_never_supply_values(spark):
@@ -72,6 +73,29 @@ def test_related_products_never_supply_values(spark):
     assert products(spark, {"@type": ["Thing", "Product"], "url": URL, "name": "typed list"}) == ["typed list"]
 
 
+def test_products_of_a_graph(spark):
+    assert products(spark, {"@type": "ProductGroup", "url": URL, "name": "group", "hasVariant": [{"@type": "https://schema.org/Product", "url": URL, "name": "variant"}]}) == ["variant"]
+    assert products(spark, {"@type": "WebPage", "mainEntity": {"@type": "Product", "url": "m1-0001?ref=a", "name": "nested, relative"}}) == ["nested, relative"]
+    graph = [{"@type": "WebPage", "mainEntity": {"@id": "#p"}}, {"@id": "#p", "@type": "Product", "name": "by id", "offers": {"@id": "#o"}}, {"@id": "#o", "@type": "Offer", "price": 5}]
+    assert products(spark, {"@graph": graph}) == ["by id"]
+    df = spark.createDataFrame([(1, URL, "x", json.dumps({"@graph": graph}))], "page_id int, url string, reference string, body string")
+    assert own_products(df, "body").select(F.try_variant_get("offers", "$.price", "int")).first()[0] == 5
+    moved = spark.createDataFrame([(1, URL, "x", json.dumps({"@type": "Product", "url": "/c", "name": "n"}), "https://www.shop.example/c")],
+                                  "page_id int, url string, reference string, body string, canonical string")
+    assert own_products(moved, "body", canonical="canonical").count() == 1 and own_products(moved, "body").count() == 0
+
+
+def test_walk_of_deep_json(spark):
+    deep = {"@type": "T", "n": 0}
+    for i in range(12):
+        deep = {"k": [deep]} if i % 2 else {"k": deep}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, "[1, [{}]]"), (3, "no"), (4, None)], "id int, body string")
+    out = json_walk(rows, ["id"], "body").collect()
+    assert sum(r["id"] == 1 for r in out) == 13 and [(r["path"], r["depth"]) for r in out if r["id"] == 2] == [("$[1][0]", 2)]
+    last = max((r for r in out if r["id"] == 1), key=lambda r: r["depth"])
+    assert last["path"] == "$" + ".k[0].k" * 6 and last["key"] == "k" and json_walk(rows.limit(0), ["id"], "body").count() == 0
+
+
 def test_single_offer_and_images(spark):
     offers = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("b", 6.0)], "page string, price double")
     got = {r["page"]: (r["n_offers"], r["price"]) for r in ex.single_offer(offers, ["page"], "price").collect()}
@@ -104,7 +128,9 @@ def test_pages_to_records(spark):
     own = {"@type": "Product", "url": URL, "sku": "m1-0001", "name": "Own", "offers": {"price": 0, "priceCurrency": "CHF"},
            "additionalProperty": [{"name": "Diameter", "value": "39 mm"}]}
     related = {"@type": "Product", "url": OTHER, "sku": "m1-0002", "name": "Other", "offers": [{"price": 99, "priceCurrency": "USD"}]}
-    html = ("<main><h1>Heading</h1><dl><dt>Diameter</dt><dd>99 mm</dd><dt>Crystal</dt><dd>Sapphire</dd></dl></main>"
+    own |= {"description": "Long words"}
+    html = ('<meta name="description" content="Short"><meta property="og:image" content="/i.png">'
+            "<main><h1>Heading</h1><dl><dt>Diameter</dt><dd>99 mm</dd><dt>Crystal</dt><dd>Sapphire</dd></dl></main>"
             f'<script type="application/ld+json">{json.dumps([related, own])}</script>')
     pages = spark.createDataFrame([("1", URL, "M1-0001", html, "2026-10-01", "h"), ("2", OTHER, "M1-0002", "<h1>Bare</h1>", "2026-10-01", "h2")],
                                   "page_id string, url string, reference string, html string, captured_at string, source_hash string")
@@ -112,6 +138,7 @@ def test_pages_to_records(spark):
     one, two = records.orderBy("page_id").collect()
     assert (one["reference_number"], one["specific_model"], one["price"], one["currency"], one["diameter"], one["crystal"]) == (
         "m1-0001", "Own", "0", "CHF", "39 mm", "Sapphire")
+    assert (one["description"], one["short_description"], one["image_URL"]) == ("Long words", "Short", "https://www.shop.example/i.png")
     assert (two["reference_number"], two["specific_model"], two["price"]) == ("M1-0002", "Bare", None)
     assert one["validation_errors"] == [] and "power_reserve" in one["missing_core_fields"] and len(one["id"]) == 24
     assert jobs.reparse_check(records, records).count() == 0

@@ -207,3 +207,60 @@ def test_rules(spark):
 def test_rule_validation(spark, rule):
     fields = {"diameter": rules.Field("diameter", "number", F.lit(1)), "features": rules.Field("features", "text", F.lit("x"))}
     assert rules.validate_rule(rule, fields)
+
+
+def test_pages_of_a_ranking(spark, tmp_path):
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 13).alias("v")).repartition(5)
+    order = [F.col("v").desc(), F.col("id").asc()]
+    want = [(r["id"], i + 1) for i, r in enumerate(df.orderBy(*order).collect())]
+    ranking = search.Ranking.build(df, order, str(tmp_path / "r"))
+    assert ranking.total == 1000
+    for page, size in ((1, 24), (2, 24), (17, 24), (42, 24), (43, 24), (3, 400), (1, 5000)):
+        got = sorted(((r["id"], r["rank"]) for r in ranking.page(page, size).collect()), key=lambda x: x[1])
+        assert got == want[(page - 1) * size:page * size]
+        if page < 43:
+            got = sorted(((r["id"], r["rank"]) for r in search.page_of(df, order, page, size).collect()), key=lambda x: x[1])
+            assert got == want[(page - 1) * size:page * size]
+    # A deep page reads one or two ranges of eight.
+    assert len(ranking.page(40, 24).inputFiles()) <= 2 if len(ranking.counts) > 4 else True
+    assert search.Ranking.build(df.limit(0), order, str(tmp_path / "e")).page(1).count() == 0
+
+
+def test_specs_in_bulk_answer_like_single_searches(spark):
+    from catalogspark.operators import search_many
+    from catalogspark.operators.facets import build_facets
+    from catalogspark.operators.text_search import build_doc_stats, build_postings, search_postings
+    from catalogspark.sources.index import with_keys
+
+    import random
+
+    rng = random.Random(8)
+    makers, lines, metals, extras = ["Omega", "Rolex", "IWC"], ["Speed", "Dive 1", "Pilot"], ["Steel", "Gold", None], ["GMT", "Moon", "Date"]
+    rows = [(i, rng.choice(makers), rng.choice(lines), f"Model {rng.choice('abc')}{i % 4}", rng.choice([None, f"R{i % 15}-{i}"]), rng.choice([None, 36.0, 39.0, 40.0, 42.0]),
+             rng.choice(metals), [e for e in extras if rng.random() < 0.5]) for i in range(120)]
+    products = with_keys(spark.createDataFrame(rows, "id int, brand string, collection string, model string, reference string, diameter double, metal string, extra array<string>"))
+    facets = build_facets(products, "id", {"brand": F.array("brand"), "material": F.array("metal"), "complication": F.col("extra")})
+    prices = spark.createDataFrame([(i, "official_retail", c, float(rng.randint(1, 9) * 1000)) for i in range(120) for c in ("USD", "EUR") if rng.random() < 0.6],
+                                   "id int, source string, currency string, amount double")
+    fields = {"identity": F.concat_ws(" ", "brand", "collection", "model"), "reference_key": F.coalesce("reference_key", F.lit(""))}
+    postings, stats = build_postings(products, "id", fields), build_doc_stats(products, "id", fields)
+    specs, texts = [], ["", "", "", "speed", "omega mod", "model a", "R7", "r1-1", "dive 1 b", "zzz"]
+    for n in range(60):
+        f = {k: v for k, v in {"brand": rng.sample(makers, rng.randint(0, 2)), "material": rng.sample(["Steel", "Gold", "Tin"], rng.randint(0, 2)), "complication": rng.sample(extras, rng.randint(0, 2))}.items() if v}
+        b = {k: v for k, v in {"diameter.min": 37.0, "diameter.lt": 42.0, "price.max": 5000.0, "price.gt": 2000.0}.items() if rng.random() < 0.3}
+        specs.append((n, f, b, rng.choice([None, "EUR"]), rng.choice(texts)))
+    specs += [(100, {}, {"diameter.min": 50.0, "diameter.max": 40.0}, None, ""), (101, {}, {}, None, ""), (102, specs[0][1], specs[0][2], specs[0][3], specs[0][4]), (103, None, None, None, "omega")]
+    table = spark.createDataFrame(specs, "spec int, facets map<string,array<string>>, bounds map<string,double>, currency string, rest string")
+    out = search_many.search_specs(products, facets, prices, table, {"diameter": F.col("diameter")}, (postings, stats)).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["spec"], []).append((r["id"], r["tier"], None if r["score"] is None else round(r["score"], 9), r["price"]))
+    assert 100 not in got and 101 not in got
+    for n, f, b, currency, rest in specs:
+        if n in (100, 101) or not (f or b or rest):
+            continue
+        spec = search.SearchSpec(facets=f or {}, bounds={tuple(k.split(".")): v for k, v in (b or {}).items()}, q=rest, currency=currency)
+        single = search.matches(products, facets, prices, spec, search_postings(postings, stats, rest) if rest else None)
+        want = sorted((r["id"], r["tier"], None if r["score"] is None else round(r["score"], 9), r["price"]) for r in single.collect())
+        assert sorted(got.get(n, [])) == want, (n, f, b, currency, rest)
+    assert sum(map(len, got.values())) > 200
