@@ -7,6 +7,8 @@ import __spark_entry__ as entry
 from catalogspark.plans.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries without a result on the smallest tables.
+MAY_BE_EMPTY = frozenset(("relaxations", "rule_numeric"))
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def test_query(spark, con, name):
         assert df.columns and df.collect() is not None
     else:
         problem = compare(df, con, sql)
-        assert problem in (None, "both empty"), problem
+        assert problem is None or (problem == "both empty" and name in MAY_BE_EMPTY), problem
 
 
 def test_entry(spark):
