@@ -1,5 +1,7 @@
 """Search semantics on seven hand-written products."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +266,19 @@ def test_specs_in_bulk_answer_like_single_searches(spark):
         want = sorted((r["id"], r["tier"], None if r["score"] is None else round(r["score"], 9), r["price"]) for r in single.collect())
         assert sorted(got.get(n, [])) == want, (n, f, b, currency, rest)
     assert sum(map(len, got.values())) > 200
+
+
+def test_bulk_search_broadcasts_nothing_by_product(spark, monkeypatch):
+    """The small files of these tables say nothing of their size in memory: no join by product id plans a broadcast."""
+    import __spark_entry__ as entry
+    from catalogspark.operators import search_many
+
+    plans, store = [], search_many.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(search_many, "stored", seen)
+    entry.queries()["search_specs"](spark, "/root/testdata/sf0.001")
+    assert len(plans) > 3 and not [line for text in plans for line in text.splitlines() if "BroadcastExchange" in line and re.search(r"List\(input\[\d+, bigint", line)]
