@@ -282,3 +282,18 @@ def test_bulk_search_broadcasts_nothing_by_product(spark, monkeypatch):
     monkeypatch.setattr(search_many, "stored", seen)
     entry.queries()["search_specs"](spark, "/root/testdata/sf0.001")
     assert len(plans) > 3 and not [line for text in plans for line in text.splitlines() if "BroadcastExchange" in line and re.search(r"List\(input\[\d+, bigint", line)]
+
+
+def test_pages_in_bulk_are_cut_per_request(spark, monkeypatch):
+    from catalogspark.operators import search_many
+    from catalogspark.operators.facets import build_facets
+    from catalogspark.sources.index import with_keys
+
+    monkeypatch.setattr(search_many, "TILE", 8)
+    products = with_keys(spark.range(60).selectExpr("id", "'Omega' brand", "'Speed' collection", "concat('m', id) model", "concat('R', id) reference", "40.0D diameter"))
+    facets = build_facets(products, "id", {"brand": F.array("brand")})
+    prices = products.selectExpr("id", "'official_retail' source", "'USD' currency", "id * 1.0D amount")
+    specs = spark.range(60).select(F.col("id").alias("spec"), F.expr("if(id < 50, map('brand', array('Omega')), null) facets"),
+                                   F.expr("if(id < 50, null, map('price.lt', id - 49.0D)) bounds"), F.lit(None).cast("string").alias("currency"), F.lit("").alias("rest"))
+    got = search_many.search_pages(products, facets, prices, specs, {"diameter": F.col("diameter")}).select("spec", "rank", "id").collect()
+    assert sorted(map(tuple, got)) == [(s, i + 1, i) for s in range(60) for i in range(24 if s < 50 else s - 49)]
