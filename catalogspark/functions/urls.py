@@ -227,8 +227,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def has_reference(text: Column | str, reference: Column | str) -> Column:
-    return mentions(token_runs(fold(text)), reference_form(reference))
+    return _let(token_runs(fold(text)), lambda runs: _let(reference_form(reference), lambda form: mentions(runs, form)))
 
 
 def has_other_reference(text: Column | str, reference: Column | str) -> Column:
-    return mentions_other(token_runs(F.lower(_col(text))), reference_form(reference))
+    return _let(token_runs(F.lower(_col(text))), lambda runs: _let(reference_form(reference), lambda form: mentions_other(runs, form)))

@@ -189,3 +189,30 @@ def test_references_against_patterns(spark):
         assert r["other"] == other(r["text"], r["ref"]), (r["text"], r["ref"])
         seen.add((r["own"], r["other"]))
     assert len(seen) == 4
+
+
+def _offers_of(spark, tmp_path, keys):
+    """Tables with one offer of each wording by suppliers 0 to 9 for every product."""
+    part = spark.createDataFrame([(k,) for k in keys], "p_partkey long").selectExpr("p_partkey", "'large ring' p_name", "'Brand#7' p_brand", "'LARGE' p_type", "1 p_size", "900.0D p_retailprice")
+    line = spark.range(len(keys) * 10).selectExpr(
+        "id l_orderkey", f"array({','.join(f'{k}L' for k in keys)})[cast(id div 10 as int)] l_partkey", "id % 10 l_suppkey", "1 l_linenumber", "1.0D l_quantity",
+        "5000.0D + id l_extendedprice", "0.0D l_discount", "0.0D l_tax", "'A' l_returnflag", "'O' l_linestatus", "timestamp_ntz'2001-01-01' - make_dt_interval(cast(id as int)) l_shipdate")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def _differs_from_sql(spark, folder, name):
+    import duckdb
+    from oracle_check import compare
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for table in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return compare(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name])
+
+
+def test_exact_reference_of_numbers_of_all_lengths(spark, tmp_path):
+    assert _differs_from_sql(spark, _offers_of(spark, tmp_path, [7, 99999, 999998, 999999, 1000000, 1234567, 9999999]), "exact_reference") is None
