@@ -75,7 +75,7 @@ def identified(products: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def price_reports(products: DataFrame, hits: DataFrame, now: Column, n: int = REPORTS_PER_PRODUCT) -> DataFrame:
-    """Up to ``n`` reports per product: one per url (the last hit wins), dated first, newest first, then position.
+    """Up to ``n`` reports per product: one per url (the last hit wins, of hits at one position the dearer), dated first, newest first, then position.
 
     The price needs no product, so hits without one go before the join. Both the url dedupe and the top-n are
     trimmed inside the map tasks before the shuffle.
@@ -89,7 +89,7 @@ def price_reports(products: DataFrame, hits: DataFrame, now: Column, n: int = RE
         F.col("__p.amount").alias("amount"), F.col("__p.currency").alias("currency"), F.col("__p.raw").alias("raw"),
     )
     values = ["source_domain", "position", "source_date", "condition", "amount", "currency", "raw"]
-    unique = latest_state(reports, ["id", "source_url"], ["position"], values)
+    unique = latest_state(reports, ["id", "source_url"], ["position", "amount"], values)
     order = [F.col("source_date").desc_nulls_last(), F.col("position").asc(), F.col("source_url").asc()]
     return top_per_key(unique, ["id"], order, n)
 

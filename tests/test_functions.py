@@ -250,3 +250,17 @@ def test_rate_limit_minute_has_no_shared_budget(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert compare(entry.queries()["rate_limit_minute"](spark, str(tmp_path)), con, entry.oracle_sql()["rate_limit_minute"]) is None
+
+
+def test_reports_of_the_product_999999(spark, tmp_path):
+    assert _differs_from_sql(spark, _offers_of(spark, tmp_path, [5, 999998, 999999, 1000000]), "price_reports") is None
+
+
+def test_of_hits_at_one_position_the_dearer_is_reported(spark):
+    from catalogspark.operators import evidence
+
+    hits = [("p", "Brand watch iw000007 a", f"iw000007 a price USD {n},000. Available", "https://a.example/w", None, 4) for n in (5, 9, 7)]
+    df = spark.createDataFrame(hits, "id string, title string, snippet string, link string, date string, position long").repartition(3, "snippet")
+    products = spark.createDataFrame([("p", "Brand#1", "IW000007-A")], "id string, brand string, reference string")
+    out = evidence.price_reports(products, df, F.lit("2026-10-04 12:00:00").cast("timestamp_ntz")).collect()
+    assert [r["amount"] for r in out] == [9000.0]
