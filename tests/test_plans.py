@@ -71,3 +71,9 @@ def test_duplicates_are_counted_before_the_join(spark):
     a = spark.range(3).select(F.lit(1).alias("k"))
     out = reconcile.reconcile_sets(a, a, "k").collect()
     assert [(r["k"], r["status"]) for r in out] == [(1, "duplicate")]
+
+
+def test_mapped_facts_are_dealt_by_page_and_never_broadcast(spark):
+    text = run(spark, "eav_pivot")
+    assert text.count("BroadcastExchange") == 1 and "FileScan" not in text.split("BroadcastExchange")[1]
+    assert text.count("Exchange hashpartitioning(page_id") == text.count("Exchange hashpartitioning(") == 1
