@@ -297,3 +297,40 @@ def test_pages_in_bulk_are_cut_per_request(spark, monkeypatch):
                                    F.expr("if(id < 50, null, map('price.lt', id - 49.0D)) bounds"), F.lit(None).cast("string").alias("currency"), F.lit("").alias("rest"))
     got = search_many.search_pages(products, facets, prices, specs, {"diameter": F.col("diameter")}).select("spec", "rank", "id").collect()
     assert sorted(map(tuple, got)) == [(s, i + 1, i) for s in range(60) for i in range(24 if s < 50 else s - 49)]
+
+
+def _one_request(spark, n_specs, n_products):
+    from catalogspark.sources.index import with_keys
+
+    products = with_keys(spark.range(n_products).selectExpr("id", "'Omega' brand", "'Speed' collection", "concat('m', id) model", "concat('R', id) reference", "40.0D diameter"))
+    prices = products.selectExpr("id", "'official_retail' source", "'USD' currency", "(id * 37) % 1000003 * 0.01D amount")
+    facets = spark.createDataFrame([], "id bigint, facet string, value string")
+    specs = spark.range(n_specs).select(F.expr("if(id = 0, null, id) spec"), F.lit(None).cast("map<string,array<string>>").alias("facets"), F.expr("map('price.min', 0.0D) bounds"),
+                                        F.lit(None).cast("string").alias("currency"), F.lit("").alias("rest"))
+    return products, facets, prices, specs, {"diameter": F.col("diameter")}
+
+
+def test_whole_results_in_bulk_come_in_runs(spark):
+    """The rows grow with both tables; in runs of one product, column files keep them in a fraction of a byte each."""
+    from catalogspark.operators import search_many
+
+    got = search_many.search_specs(*_one_request(spark, 600, 500)).toPandas()
+    assert len(got) == 300_000 and (got["id"] != got["id"].shift()).sum() < 3000
+    got["spec"] = got["spec"].fillna(0)
+    assert not got.duplicated(["spec", "id"]).any() and got["spec"].nunique() == 600 and got["id"].nunique() == 500
+    assert (got["price"] * 100).round().astype(int).equals(got["id"] * 37 % 1000003)
+
+
+def test_whole_results_in_bulk_meet_in_packed_tiles(spark, monkeypatch):
+    from catalogspark.operators import search_many
+
+    monkeypatch.setattr(search_many, "TILE", 8)
+    monkeypatch.setattr(search_many, "RUN", 3, raising=False)
+    out = search_many.search_specs(*_one_request(spark, 50, 60))
+    assert sorted((r["spec"] or 0, r["id"]) for r in out.collect()) == [(s, i) for s in range(50) for i in range(60)]
+    plan = out._jdf.queryExecution().toString()
+    assert "BuildLeft" not in plan and [line for line in plan.splitlines() if "SortMergeJoin [ask" in line and "__a" in line]
+    # What is sent to the tiles are packed parts, not their rows.
+    assert all("rows" in plan[at.end():].split("\n", 2)[1] for at in re.finditer("REPARTITION_BY_NUM", plan)) and "REPARTITION_BY_NUM" in plan
+    none = search_many.search_specs(*_one_request(spark, 5, 0))
+    assert none.count() == 0 and none.columns == out.columns
